@@ -1,0 +1,180 @@
+"""The validation plan: which rows go which way, and how findings become report rows."""
+
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortcheck.functions import Selector
+from cohortcheck.operators.joins import KeyStats, attach
+from cohortcheck.operators.keys import FIRST_ROW, LAST_ROW, N_ROWS, repeated_keys
+from cohortcheck.operators.neighbours import with_neighbour_rows
+from cohortcheck.operators.normalize import Layout, normalize
+from cohortcheck.operators.profile import missing_profile
+from cohortcheck.plans.contexts import RowContext, SubjectContext
+from cohortcheck.plans.report import assemble
+from cohortcheck.plans.rules import CodeListRule, Finding, KeyPresentRule, Rule, any_true
+from cohortcheck.plans.settings import Settings
+
+
+@dataclass(frozen=True)
+class Pack:
+    """A set of rules, and the columns whose missing values are counted."""
+
+    rules: tuple[Rule, ...]
+    profiled: tuple[Selector, ...] = ()
+
+    def only(self, *rule_ids: str) -> Pack:
+        """The pack with the named rules alone."""
+        by_id = {rule.rule_id: rule for rule in self.rules}
+        unknown = [r for r in rule_ids if r not in by_id]
+        if unknown:
+            raise ValueError(f"unknown rule(s): {', '.join(unknown)}")
+        return Pack(tuple(by_id[r] for r in rule_ids), self.profiled)
+
+    def profile_columns(self, columns: list[str]) -> list[str]:
+        names: list[str] = []
+        for selector in self.profiled:
+            names += [c for c in selector(columns) if c not in names]
+        return names
+
+
+@dataclass(frozen=True)
+class Result:
+    """The two result tables."""
+
+    report: DataFrame
+    missing: DataFrame
+
+
+def validate(df: DataFrame, pack: Pack, settings: Settings, layout: Layout | None = None) -> Result:
+    """Check an all-text table against a pack: the report and the missing-value profile."""
+    layout = layout or Layout()
+    typed = normalize(df, layout, drop_keyless=False)
+    keyed = typed.where(F.col(layout.subject).isNotNull())
+    profiled = pack.profile_columns(layout.cells(keyed.columns))
+    return Result(
+        assemble(violations(typed, pack, settings, layout), pack.rules, layout),
+        missing_profile(keyed, profiled, layout.by),
+    )
+
+
+def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout) -> DataFrame:
+    """Keys, row id, rule id and shown cells of every violation in a normalised table.
+
+    Subjects with one row, and rows without a key, are checked in one pass with no shuffle. The
+    keys on several rows are found first, from the key and row id columns alone; their rows take a
+    second branch, which is left out when there are none or when no rule looks past a row.
+    """
+    keys, row = layout.keys, layout.row
+    single = RowContext(typed.schema, layout, settings)
+    group = SubjectContext(typed.schema, layout, settings)
+    row_findings = list(_findings(pack.rules, single))
+    group_findings = list(_findings(pack.rules, group))
+    if not group.grouped:
+        return _emit(typed, row_findings, pack.rules, layout)
+
+    use_checkpoints(typed.sparkSession)
+    repeated = repeated_keys(typed, keys, row).checkpoint()
+    stats = KeyStats.of(repeated)
+    if stats.keys == 0:
+        return _emit(typed, row_findings, pack.rules, layout)
+
+    limits = settings.limits
+    sizes = (stats, limits.max_broadcast_keys, limits.hot_key_rows)
+    alone = attach(typed, repeated, keys, row, *sizes, how="anti")
+    needed = [*keys, row, *sorted(group.used - layout.reserved)]
+    shared = attach(typed.select(*needed), repeated, keys, row, *sizes)
+    if group.aggregates or group.carried:
+        # Read twice from here on; finding these rows again would read the whole table again.
+        shared = shared.checkpoint()
+        facts = group.facts(shared)
+        if stats.keys > limits.max_broadcast_keys:
+            facts = facts.checkpoint()
+        if group.carried:
+            shared = with_neighbour_rows(shared, keys, row, group.carried, stats.largest, limits.chunk_rows)
+        shared = attach(shared.drop(N_ROWS), facts, keys, row, *sizes)
+    return _emit(alone, row_findings, pack.rules, layout).unionByName(
+        _emit(shared, group_findings, pack.rules, layout, keyless=False)
+    )
+
+
+def _findings(rules: Iterable[Rule], ctx: RowContext | SubjectContext) -> Iterable[tuple[str, Finding]]:
+    for rule in rules:
+        for finding in rule.findings(ctx):
+            yield rule.rule_id, finding
+
+
+def _emit(
+    rows: DataFrame,
+    findings: list[tuple[str, Finding]],
+    rules: Iterable[Rule],
+    layout: Layout,
+    keyless: bool = True,
+) -> DataFrame:
+    """One output row per finding that holds. All findings share one pass over ``rows``: each is an
+    array element that is null unless it holds, and the nulls are dropped as the array unrolls."""
+    entries = F.array(*[_entry(rule_id, f) for rule_id, f in findings]) if findings else None
+    if keyless:
+        without_key = [
+            _entry(rule.rule_id, rule.keyless(layout)) for rule in rules if isinstance(rule, KeyPresentRule)
+        ]
+        is_keyless = F.col(layout.subject).isNull()
+        if not without_key:
+            rows = rows.where(~is_keyless)
+        elif entries is None:
+            rows, entries = rows.where(is_keyless), F.array(*without_key)
+        else:
+            entries = F.when(is_keyless, F.array(*without_key)).otherwise(entries)
+    if entries is None:
+        entries = F.array(_entry("", Finding(F.lit(False), "", F.lit(None))))
+    out = rows.select(*layout.keys, layout.row, F.inline(entries)).where(F.col("rule_id").isNotNull())
+    return _per_bad_code(out, [rule for rule in rules if isinstance(rule, CodeListRule)])
+
+
+def _entry(rule_id: str, finding: Finding) -> Column:
+    def name(value: str | Column | None) -> Column:
+        return value if isinstance(value, Column) else F.lit(value).cast("string")
+
+    def cell(value: Column | None) -> Column:
+        return F.lit(None).cast("string") if value is None else value.cast("string")
+
+    return F.when(
+        finding.when,
+        F.struct(
+            F.lit(rule_id).alias("rule_id"),
+            name(finding.column1).alias("column1"),
+            cell(finding.value1).alias("value1"),
+            name(finding.column2).alias("column2"),
+            cell(finding.value2).alias("value2"),
+        ),
+    )
+
+
+def _per_bad_code(found: DataFrame, rules: list[CodeListRule]) -> DataFrame:
+    """Repeat the violations of comma-list rules once per bad code."""
+    if not rules:
+        return found
+    ours = F.col("rule_id").isin(*[rule.rule_id for rule in rules])
+    codes = F.when(ours, F.split("value1", ",")).otherwise(F.array(F.lit(None).cast("string")))
+    bad = any_true([rule.bad_code(F.col("rule_id"), F.col("_code")) for rule in rules])
+    return (
+        found.select("*", F.explode(codes).alias("_code")).where(F.col("_code").isNull() | bad).drop("_code")
+    )
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoint where ``spark.checkpoint.dir`` says; a local run without one gets its own folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cohortcheck-")
+    context.setCheckpointDir(folder)
