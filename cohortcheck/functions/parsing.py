@@ -1,14 +1,12 @@
-"""Column expressions that turn text cells into typed values.
+"""SQL expressions that turn text cells into typed values.
 
-All of them return null for text they cannot read and never raise, also in ANSI mode. Common
+All of them give null for text they cannot read and never raise, also in ANSI mode. Common
 spellings take a cheap branch; only the others reach a regular expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from cohortcheck.functions.sql import one_of, quoted
 
 # Cells that mean "unknown", compared with case.
 NULL_TOKENS = ("NA", "UNK", "Unk", "N/A", "88888", "888888", "99999", "999999")
@@ -16,52 +14,55 @@ NULL_TOKENS = ("NA", "UNK", "Unk", "N/A", "88888", "888888", "99999", "999999")
 # Fixed value: day zero of spreadsheet date serials.
 SERIAL_ORIGIN = "1899-12-30"
 
-WHITESPACE = " \t\r\n"
-
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 # A prefix is enough: what follows the day (such as a time) is ignored.
 _MONTH_DAY_YEAR = r"(?s)^(?:(\d{1,2})/(\d{1,2})/(\d{1,4}).*|.*)$"
 _YEAR_MONTH_DAY = r"(?s)^(?:(\d{1,4})-(\d{1,2})-(\d{1,2}).*|.*)$"
 
 
-def clean_text(cell: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
+def trimmed(cell: str) -> str:
+    """The cell without white space at its ends."""
+    return rf"btrim({cell}, ' \t\r\n')"
+
+
+def clean_text(cell: str, tokens: tuple[str, ...] = NULL_TOKENS) -> str:
     """The trimmed cell; null when it is blank or one of ``tokens``."""
-    trimmed = F.btrim(cell, F.lit(WHITESPACE))
-    return F.when(~trimmed.isin("", *tokens), trimmed)
+    return f"CASE WHEN NOT {one_of(trimmed(cell), ('', *tokens))} THEN {trimmed(cell)} END"
 
 
-def number(cell: Column) -> Column:
+def number(cell: str) -> str:
     """A decimal or exponent number as double, else null (also for ``NaN`` and ``1d``)."""
-    return F.when(cell.rlike(_NUMBER), cell.try_cast("double"))
+    return f"CASE WHEN {cell} RLIKE {quoted(_NUMBER)} THEN try_cast({cell} AS DOUBLE) END"
 
 
-def mixed_date(cell: Column) -> Column:
+def mixed_date(cell: str) -> str:
     """A date written month/day/year, year-month-day, or as a spreadsheet serial.
 
     The separator decides: ``/`` first, then ``-``, else a serial, of which the fraction of the
     day is dropped. The year may have one to four digits and is taken as written (``21`` is the
     year 21). Zeros put before the year keep it within the widths that the date cast accepts.
     """
-    mdy = F.regexp_replace(cell, _MONTH_DAY_YEAR, "000$3-$1-$2").try_cast("date")
-    plain_iso = cell.like("____-__-__")
-    iso = F.when(plain_iso, cell.try_cast("date")).otherwise(
-        F.regexp_replace(cell, _YEAR_MONTH_DAY, "000$1-$2-$3").try_cast("date")
+    return (
+        f"CASE WHEN contains({cell}, '/') THEN "
+        f"try_cast(regexp_replace({cell}, {quoted(_MONTH_DAY_YEAR)}, '000$3-$1-$2') AS DATE) "
+        f"WHEN contains({cell}, '-') THEN "
+        f"CASE WHEN length({cell}) = 10 AND substring({cell}, 5, 1) = '-' THEN try_cast({cell} AS DATE) "
+        f"ELSE try_cast(regexp_replace({cell}, {quoted(_YEAR_MONTH_DAY)}, '000$1-$2-$3') AS DATE) END "
+        f"ELSE date_add(DATE '{SERIAL_ORIGIN}', "
+        f"coalesce(try_cast({cell} AS INT), try_cast(floor({number(cell)}) AS INT))) END"
     )
-    days = F.coalesce(cell.try_cast("int"), F.floor(number(cell)).try_cast("int"))
-    serial = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), days)
-    return F.when(cell.contains("/"), mdy).when(cell.contains("-"), iso).otherwise(serial)
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """A double as text, whole numbers without ``.0``."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+    return (
+        f"CASE WHEN {value} = floor({value}) AND abs({value}) < 1e15D "
+        f"THEN CAST(CAST({value} AS BIGINT) AS STRING) ELSE CAST({value} AS STRING) END"
+    )
 
 
-def text_of(value: Column, dtype: T.DataType) -> Column:
-    """A cell as report text."""
-    if isinstance(dtype, T.StringType):
+def text_of(value: str, dtype: str) -> str:
+    """A cell of a type as report text."""
+    if dtype == "string":
         return value
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return number_text(value)
-    return value.cast("string")
+    return number_text(value) if dtype in ("double", "float") else f"CAST({value} AS STRING)"

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortcheck.functions import ref
 from cohortcheck.operators.keys import N_ROWS
 
 # Most records that are ever sent to every executor.
@@ -15,6 +16,7 @@ MAX_BROADCAST_KEYS = 50_000
 HOT_KEY_ROWS = 1_000_000
 
 _SALT, _HOT, _COLD = "_salt", "_hot", "_cold"
+_SPREAD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,9 @@ class KeyStats:
     @classmethod
     def of(cls, per_key: DataFrame) -> KeyStats:
         got = per_key.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(N_ROWS), F.lit(0)), F.coalesce(F.max(N_ROWS), F.lit(0))
+            F.expr("count(1)"),
+            F.expr(f"coalesce(sum({N_ROWS}), 0)"),
+            F.expr(f"coalesce(max({N_ROWS}), 0)"),
         ).first()
         return cls(*got)
 
@@ -53,20 +57,21 @@ def attach(
     if stats.keys <= max_broadcast_keys:
         return rows.join(F.broadcast(per_key), keys, "left_anti" if how == "anti" else how)
     threshold = max(hot_key_rows, -(-stats.rows // max_broadcast_keys))
-    record = F.struct(*[c for c in per_key.columns if c not in keys])
-    hot = per_key.where(F.col(N_ROWS) >= threshold).select(*keys, record.alias(_HOT))
-    cold = per_key.where(F.col(N_ROWS) < threshold).select(
-        *keys, F.lit(0).cast("bigint").alias(_SALT), record.alias(_COLD)
+    record = f"struct({', '.join(ref(c) for c in per_key.columns if c not in keys)})"
+    hot = per_key.where(f"{N_ROWS} >= {threshold}").selectExpr(*map(ref, keys), f"{record} AS {_HOT}")
+    cold = per_key.where(f"{N_ROWS} < {threshold}").selectExpr(
+        *map(ref, keys), f"0L AS {_SALT}", f"{record} AS {_COLD}"
     )
-    spread = F.when(F.col(_HOT).isNotNull(), 1 + F.pmod(F.xxhash64(row), F.lit(1 << 20))).otherwise(
-        F.when(F.col(keys[-1]).isNull(), -1 - F.pmod(F.xxhash64(row), F.lit(1 << 20))).otherwise(0)
+    spread = (
+        f"CASE WHEN {_HOT} IS NOT NULL OR {ref(keys[-1])} IS NULL "
+        f"THEN 1 + pmod(xxhash64({ref(row)}), {_SPREAD}) ELSE 0L END"
     )
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn(_SALT, spread)
+        .selectExpr("*", f"{spread} AS {_SALT}")
         .join(cold, [*keys, _SALT], "left")
-        .withColumn(_HOT, F.coalesce(_HOT, _COLD))
+        .selectExpr(*map(ref, rows.columns), f"coalesce({_HOT}, {_COLD}) AS {_HOT}")
     )
     if how == "anti":
-        return joined.where(F.col(_HOT).isNull()).select(*rows.columns)
-    return joined.where(F.col(_HOT).isNotNull()).select(*rows.columns, f"{_HOT}.*")
+        return joined.where(f"{_HOT} IS NULL").drop(_HOT)
+    return joined.where(f"{_HOT} IS NOT NULL").selectExpr(*map(ref, rows.columns), f"{_HOT}.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortcheck.functions import ref
+
 N_ROWS, FIRST_ROW, LAST_ROW = "_n_rows", "_first_row", "_last_row"
 
 
@@ -15,11 +17,12 @@ def repeated_keys(df: DataFrame, keys: list[str], row: str) -> DataFrame:
     holds a large share of the table sends one record per task.
     """
     return (
-        df.groupBy(*keys)
+        df.where(f"{ref(keys[-1])} IS NOT NULL")
+        .groupBy(*keys)
         .agg(
-            F.count(F.lit(1)).alias(N_ROWS),
-            F.min(row).alias(FIRST_ROW),
-            F.max(row).alias(LAST_ROW),
+            F.expr(f"count(1) AS {N_ROWS}"),
+            F.expr(f"min({ref(row)}) AS {FIRST_ROW}"),
+            F.expr(f"max({ref(row)}) AS {LAST_ROW}"),
         )
-        .where((F.col(N_ROWS) > 1) & F.col(keys[-1]).isNotNull())
+        .where(f"{N_ROWS} > 1")
     )

@@ -28,20 +28,17 @@ def with_neighbour_rows(
     more than ``chunk_rows`` rows is cut into ranges of row ids, each sorted by a task of its own;
     the last row of each range is then handed to the first row of the next.
     """
-    chunks = F.ceil(F.col(N_ROWS) / F.lit(chunk_rows))
-    share = (F.col(row).cast("double") - F.col(FIRST_ROW)) / (
-        F.col(LAST_ROW).cast("double") - F.col(FIRST_ROW) + 1
-    )
-    chunk = F.when(F.col(N_ROWS) > chunk_rows, F.floor(share * chunks)).otherwise(F.lit(0).cast("bigint"))
+    share = f"(CAST({row} AS DOUBLE) - {FIRST_ROW}) / (CAST({LAST_ROW} AS DOUBLE) - {FIRST_ROW} + 1)"
+    chunk = f"CASE WHEN {N_ROWS} > {chunk_rows} THEN floor({share} * ceil({N_ROWS} / {chunk_rows})) ELSE 0 END"
     carried = F.struct(*columns)
-    parted = rows.withColumn(_CHUNK, chunk)
+    parted = rows.withColumn(_CHUNK, F.expr(chunk))
     in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(row)
     out = parted.withColumn(PREVIOUS, F.lag(carried).over(in_chunk))
     if largest > chunk_rows:
         ends = (
-            parted.where(F.col(N_ROWS) > chunk_rows)
+            parted.where(f"{N_ROWS} > {chunk_rows}")
             .groupBy(*keys, _CHUNK)
-            .agg(F.max_by(carried, F.col(row)).alias(_END))
+            .agg(F.max_by(carried, row).alias(_END))
         )
         # One record per range, so the window below holds n / chunk_rows records of a subject.
         in_subject = Window.partitionBy(*keys).orderBy(_CHUNK)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cohortcheck.functions import Selector, any_of, clean_text, contains, mixed_date, number
+from cohortcheck.functions import Selector, any_of, clean_text, contains, mixed_date, number, ref
 from cohortcheck.functions.parsing import NULL_TOKENS
 
 
@@ -51,42 +50,41 @@ class Layout:
 def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool = True) -> DataFrame:
     """Null tokens to null, mixed dates to dates, numbers to doubles, absent optional columns added.
 
-    One projection per step and no shuffle. Rows whose key is not a number are dropped, or kept
-    with a null key when ``drop_keyless`` is false. A null ``by`` value becomes empty text, so that
-    it still groups and joins.
+    Two projections and no shuffle. Rows whose key is not a number are dropped, or kept with a null
+    key when ``drop_keyless`` is false. A null ``by`` value becomes empty text, so that it still
+    groups and joins.
     """
     layout = layout or Layout()
+    types = dict(df.dtypes)
     for name in (layout.subject, layout.row, *layout.by):
-        if name not in df.columns:
+        if name not in types:
             raise ValueError(f"missing required column(s): {name}")
     cells = layout.cells(df.columns)
-    as_text = {
-        f.name: F.col(f.name) if f.dataType.typeName() == "string" else F.col(f.name).cast("string")
-        for f in df.schema.fields
-    }
-    cleaned = df.select(
-        *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in layout.by],
-        clean_text(as_text[layout.subject], layout.null_tokens).alias(layout.raw_key),
-        F.col(layout.row).cast("bigint").alias(layout.row),
-        *[clean_text(as_text[c], layout.null_tokens).alias(c) for c in cells],
+    by = [ref(c) for c in layout.by]
+
+    def clean(name: str) -> str:
+        cell = ref(name) if types[name] == "string" else f"CAST({ref(name)} AS STRING)"
+        return clean_text(cell, layout.null_tokens)
+
+    cleaned = df.selectExpr(
+        *[f"coalesce(CAST({c} AS STRING), '') AS {c}" for c in by],
+        f"{clean(layout.subject)} AS {ref(layout.raw_key)}",
+        f"CAST({ref(layout.row)} AS BIGINT) AS {ref(layout.row)}",
+        *[f"{clean(c)} AS {ref(c)}" for c in cells],
     )
     dates = set(layout.dates(cells))
     numbers = set(layout.numbers(cells)) - dates
 
-    def typed(name: str):
-        if name in dates:
-            return mixed_date(F.col(name)).alias(name)
-        if name in numbers:
-            return number(F.col(name)).alias(name)
-        return F.col(name)
-
-    absent = [c for c in layout.optional if c not in cells]
-    out = cleaned.select(
-        *layout.by,
-        number(F.col(layout.raw_key)).alias(layout.subject),
-        layout.raw_key,
-        layout.row,
+    def typed(name: str) -> str:
+        cell = ref(name)
+        return f"{mixed_date(cell) if name in dates else number(cell) if name in numbers else cell} AS {cell}"
+
+    out = cleaned.selectExpr(
+        *by,
+        f"{number(ref(layout.raw_key))} AS {ref(layout.subject)}",
+        ref(layout.raw_key),
+        ref(layout.row),
         *[typed(c) for c in cells],
-        *[F.lit(None).cast("string").alias(c) for c in absent],
+        *[f"CAST(NULL AS STRING) AS {ref(c)}" for c in layout.optional if c not in cells],
     )
-    return out.where(F.col(layout.subject).isNotNull()) if drop_keyless else out
+    return out.where(f"{ref(layout.subject)} IS NOT NULL") if drop_keyless else out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortcheck.functions import ref
+
 
 def missing_profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """``column, n_missing, total_count`` for each of ``columns``, per value of ``by``.
@@ -13,8 +15,8 @@ def missing_profile(df: DataFrame, columns: list[str], by: tuple[str, ...] = ())
     value) is turned to long form.
     """
     counts = df.groupBy(*by).agg(
-        *[(F.count(F.lit(1)) - F.count(F.col(c))).alias(c) for c in columns],
-        F.count(F.lit(1)).alias("total_count"),
+        *[F.expr(f"count(1) - count({ref(c)}) AS {ref(c)}") for c in columns],
+        F.expr("count(1) AS total_count"),
     )
     return counts.unpivot([*by, "total_count"], columns, "column", "n_missing").select(
         *by, "column", "n_missing", "total_count"

@@ -5,12 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
-from cohortcheck.functions import Selector
-from cohortcheck.functions.parsing import WHITESPACE
+from cohortcheck.functions import Selector, array, quoted, ref
+from cohortcheck.functions.parsing import trimmed
 
 
 @dataclass(frozen=True)
@@ -29,14 +27,15 @@ class Slot:
 class SlotFamily:
     """A repeated group, told by a name template such as ``shot{index}_{field}``.
 
-    ``{event}`` in the template stands for one of ``events``. A slot may lack some fields.
+    ``fields`` gives the type of each field. ``{event}`` in the template stands for one of
+    ``events``. A slot may lack some fields.
     """
 
     template: str
     fields: dict[str, str]
     events: tuple[str, ...] = ()
 
-    def name(self, index: int | str, field: str, event: str | None = None) -> str:
+    def name(self, index: int, field: str, event: str | None = None) -> str:
         return self.template.format(index=index, field=field, event=event)
 
     def slots(self, columns: list[str]) -> list[Slot]:
@@ -61,29 +60,25 @@ class SlotFamily:
         ]
 
 
-def to_long(df: DataFrame, family: SlotFamily, keep: list[str | Column]) -> DataFrame:
-    """One row per input row and slot, with ``keep`` carried along; empty slots stay.
+def to_long(df: DataFrame, family: SlotFamily, keep: list[str]) -> DataFrame:
+    """One row per input row and slot, with ``keep`` (expressions) carried along; empty slots stay.
 
     The slots are read off the column names, so the output schema does not depend on data, and
     Spark prunes the columns that no slot uses from the scan.
     """
     entries = []
     for slot in family.slots(df.columns):
-        parts = [F.lit(slot.index).alias("index")]
-        if family.events:
-            parts.insert(0, F.lit(slot.event).alias("event"))
+        parts = [f"'event', {quoted(slot.event)}"] if family.events else []
+        parts.append(f"'index', {slot.index}")
         for field, dtype in family.fields.items():
             name = slot.column(field)
-            value = F.col(name) if name else F.lit(None)
-            parts.append(value.cast(dtype).alias(field))
-        entries.append(F.struct(*parts))
+            parts.append(f"'{field}', CAST({ref(name) if name else 'NULL'} AS {dtype})")
+        entries.append(f"named_struct({', '.join(parts)})")
     if not entries:
-        fields = [T.StructField("event", T.StringType())] if family.events else []
-        empty = T.StructType([*fields, T.StructField("index", T.IntegerType())])
-        for field, dtype in family.fields.items():
-            empty = empty.add(field, dtype)
-        return df.select(*keep, F.inline(F.lit(None).cast(T.ArrayType(empty))))
-    return df.select(*keep, F.inline(F.array(*entries)))
+        fields = ["event string"] if family.events else []
+        fields += ["index int", *[f"{f} {t}" for f, t in family.fields.items()]]
+        return df.selectExpr(*keep, f"inline(from_json('[]', 'array<struct<{','.join(fields)}>>'))")
+    return df.selectExpr(*keep, f"inline({array(entries)})")
 
 
 def explode_codes(df: DataFrame, selector: Selector, keep: list[str], separator: str = ",") -> DataFrame:
@@ -93,11 +88,11 @@ def explode_codes(df: DataFrame, selector: Selector, keep: list[str], separator:
     """
     reserved = {k.lower() for k in keep}
     names = [c for c in selector(df.columns) if c.lower() not in reserved]
-    cell = T.StructType().add("column", "string").add("value", "string")
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
-    long = df.select(*keep, F.inline(cells.cast(T.ArrayType(cell))))
+    cells = [f"named_struct('column', {quoted(c)}, 'value', {ref(c)})" for c in names]
+    none = "named_struct('column', CAST(NULL AS STRING), 'value', CAST(NULL AS STRING))"
     return (
-        long.where(F.col("value").isNotNull())
-        .select("*", F.posexplode(F.split("value", re.escape(separator))).alias("position", "code"))
-        .withColumn("code", F.btrim(F.col("code"), F.lit(WHITESPACE)))
+        df.selectExpr(*keep, f"inline({array(cells or [none])})")
+        .where("value IS NOT NULL")
+        .selectExpr("*", f"posexplode(split(value, {quoted(re.escape(separator))})) AS (position, code)")
+        .selectExpr(*keep, "column", "value", "position", f"{trimmed('code')} AS code")
     )

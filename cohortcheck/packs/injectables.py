@@ -8,25 +8,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from cohortcheck.functions import any_of, column, contains
+from cohortcheck.functions import any_of, any_true, array, column, contains, holds, quoted, ref
 from cohortcheck.operators.reshape import Slot, SlotFamily
-from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectContext, holds
+from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectContext
 from cohortcheck.plans.rules import (
     Bound,
     CellRule,
     CodeListRule,
     Finding,
-    IntervalRule,
     KeyPresentRule,
     KeyUniqueRule,
     SlotRule,
     SubjectRule,
-    any_true,
+    interval_rule,
 )
-from cohortcheck.plans.validate import Pack
+from cohortcheck.plans.validation import Pack
 
 AnyContext = RowContext | SubjectContext
 EVENTS = ("counsel", "screen")
@@ -199,11 +195,11 @@ def _reasons() -> list[CodeListRule]:
 def _viral_loads(names: Names) -> list[SlotRule]:
     family = names.viral_loads
 
-    def out_of_order(ctx: Context, cells: dict[str, Column], previous: Previous) -> Column:
-        return cells["date"] < previous.values["date"]
+    def out_of_order(ctx: Context, cells: dict[str, str], previous: Previous) -> str:
+        return f"{cells['date']} < {previous.values['date']}"
 
     def without_result(ctx, cells, previous):
-        return cells["result"].isNull() & cells["date"].isNotNull()
+        return f"{cells['result']} IS NULL AND {cells['date']} IS NOT NULL"
 
     def in_future(ctx, cells, previous):
         return ctx.future(cells["date"])
@@ -223,34 +219,29 @@ def _shots(names: Names) -> list:
 
     # A slot with a date makes its subject "on therapy", so only rules that may fire on a slot
     # without one have to ask.
-    def on_therapy(ctx: AnyContext) -> Column:
+    def on_therapy(ctx: AnyContext) -> str:
         dates = [ctx.value(s, family, "date") for s in family.slots(ctx.columns)]
-        return ctx.any(any_true([d.isNotNull() for d in dates]))
+        return ctx.any(any_true(f"{d} IS NOT NULL" for d in dates))
 
-    def not_after(ctx: Context, cells: dict[str, Column], previous: Previous) -> Column:
-        return cells["date"] <= previous.values["date"]
+    def not_after(ctx: Context, cells: dict[str, str], previous: Previous) -> str:
+        return f"{cells['date']} <= {previous.values['date']}"
 
     def without_dose(ctx, cells, previous):
-        return cells["dose"].isNull() & cells["date"].isNotNull()
+        return f"{cells['dose']} IS NULL AND {cells['date']} IS NOT NULL"
 
     def first_missing(ctx: AnyContext) -> list[Finding]:
-        firsts = [s for s in family.slots(ctx.columns) if s.index == 1]
-        return [
-            Finding(
-                on_therapy(ctx)
-                & ctx.on_first(any_true([
-                    ctx.value(s, family, "date").isNull() & ctx.value(s, family, "dose").isNull()
-                ])),
-                family.name(1, "date"),
-                ctx.text(s.column("date")),
-            )
-            for s in firsts
-        ]
+        out = []
+        for slot in family.slots(ctx.columns):
+            if slot.index == 1:
+                empty = " AND ".join(f"{ctx.value(slot, family, f)} IS NULL" for f in family.fields)
+                bad = f"{on_therapy(ctx)} AND {ctx.on_first(empty)}"
+                out.append(Finding(bad, quoted(family.name(1, "date")), ctx.text(slot.column("date"))))
+        return out
 
     def baseline_missing(ctx: AnyContext) -> list[Finding]:
         _require(ctx, names.baseline)
-        missing = ctx.on_first(ctx.col(names.baseline).isNull())
-        return [Finding(on_therapy(ctx) & missing, names.baseline, ctx.text(names.baseline))]
+        missing = ctx.on_first(f"{ctx.col(names.baseline)} IS NULL")
+        return [Finding(f"{on_therapy(ctx)} AND {missing}", *_cell(ctx, names.baseline))]
 
     def in_future(ctx, cells, previous):
         return ctx.future(cells["date"])
@@ -268,10 +259,10 @@ def _shots(names: Names) -> list:
                     "enter it, or move the others up.", "First injection is missing", first_missing),
         SubjectRule("V33", "A subject on injections needs the viral load from before the first one.",
                     "Baseline viral load is missing", baseline_missing),
-        IntervalRule("V34", "The injection came later than its schedule allows; check the dates and the "
-                     "dose before.", "Injection is late", family, side="late", **doses),
-        IntervalRule("V35", "The injection came earlier than its schedule allows; check the dates and "
-                     "the dose before.", "Injection is early", family, side="early", **doses),
+        interval_rule("V34", "The injection came later than its schedule allows; check the dates and the "
+                      "dose before.", "Injection is late", family, side="late", **doses),
+        interval_rule("V35", "The injection came earlier than its schedule allows; check the dates and "
+                      "the dose before.", "Injection is early", family, side="early", **doses),
         SlotRule("V36", "The injection date has not come yet.", "Injection date is in the future",
                  family, in_future, ("date",)),
         SlotRule("V37", "The injection date is before the therapy was approved.",
@@ -283,22 +274,27 @@ def _require(ctx: Context, *wanted: str) -> None:
     column(*wanted)(ctx.columns)
 
 
+def _cell(ctx: Context, name: str) -> tuple[str, str]:
+    """Name and text of a cell, to show in a finding."""
+    return quoted(name), ctx.text(name)
+
+
 @dataclass(frozen=True)
 class _Event:
     """An event slot of a row, and whether it counts: an event after the first injection does not."""
 
     slot: Slot
-    day: Column
-    outcome: Column
-    counts: Column
+    day: str
+    outcome: str
+    counts: str
 
     @property
-    def some(self) -> Column:
-        return self.counts & (self.day.isNotNull() | self.outcome.isNotNull())
+    def some(self) -> str:
+        return f"{self.counts} AND ({self.day} IS NOT NULL OR {self.outcome} IS NOT NULL)"
 
     @property
-    def full(self) -> Column:
-        return self.counts & self.day.isNotNull() & self.outcome.isNotNull()
+    def full(self) -> str:
+        return f"{self.counts} AND {self.day} IS NOT NULL AND {self.outcome} IS NOT NULL"
 
 
 class _Course:
@@ -310,53 +306,57 @@ class _Course:
             names.shot_date(1), names.shot_date(2), *[names.ever.format(event=e) for e in EVENTS],
         )
         self.ctx, self.names, self.family = ctx, names, names.events
-        self.rx, self.rx_date = ctx.col(names.rx), ctx.col(names.rx_date)
-        self.prescribed = holds(self.rx == "1")
-        self.not_prescribed = (self.rx.isNull() | (self.rx == "0")) & self.rx_date.isNull()
+        rx, self.rx_date = ctx.col(names.rx), ctx.col(names.rx_date)
+        self.prescribed = holds(f"{rx} = '1'")
+        self.not_prescribed = f"(({rx} IS NULL OR {rx} = '0') AND {self.rx_date} IS NULL)"
         start = ctx.col(names.shot_date(1))
         self.events = []
         for slot in self.family.slots(ctx.columns):
             day = ctx.value(slot, self.family, "date")
-            counts = start.isNull() | day.isNull() | (day <= start)
+            counts = f"({start} IS NULL OR {day} IS NULL OR {day} <= {start})"
             self.events.append(_Event(slot, day, ctx.value(slot, self.family, "outcome"), counts))
 
     def of(self, event: str) -> list[_Event]:
         return [e for e in self.events if e.slot.event == event]
 
     @property
-    def any_counts(self) -> Column:
+    def any_counts(self) -> str:
         """Does the row keep any event? Subjects without one are not checked."""
-        return any_true([e.counts for e in self.events])
+        return any_true(e.counts for e in self.events)
 
-    def after_rx(self, event: str) -> list[tuple[_Event, Column]]:
-        """Events that count, of the given kind and dated after the prescription."""
+    def after_rx(self, event: str) -> list[tuple[_Event, str]]:
+        """Events that count, of the given kind, and whether they are dated after the prescription."""
         return [
-            (e, e.counts & self.prescribed & holds(e.day > self.rx_date)) for e in self.of(event)
+            (e, f"({e.counts} AND {self.prescribed} AND {holds(f'{e.day} > {self.rx_date}')})")
+            for e in self.of(event)
         ]
 
-    def by_rx(self, event: str) -> Column:
-        """An event that counts and supports the prescription, or there is no prescription."""
-        supports = [e.counts & self.prescribed & holds(e.day <= self.rx_date) for e in self.of(event)]
-        return any_true([*supports, holds(self.not_prescribed) & self.any_counts])
+    def supported(self, event: str) -> str:
+        """An event that counts and precedes the prescription, or there is no prescription."""
+        before = [
+            f"{e.counts} AND {self.prescribed} AND {holds(f'{e.day} <= {self.rx_date}')}"
+            for e in self.of(event)
+        ]
+        return any_true([*before, f"{holds(self.not_prescribed)} AND {self.any_counts}"])
 
-    def wrong_outcome(self, event: str, wanted: str) -> list[tuple[_Event, Column]]:
-        """Events that count, with an outcome that speaks against the prescription."""
-        return [(e, e.counts & self.prescribed & holds(e.outcome != wanted)) for e in self.of(event)]
+    def wrong_outcome(self, event: str, wanted: str) -> list[tuple[_Event, str]]:
+        """Events that count, and whether their outcome speaks against the prescription."""
+        return [
+            (e, f"({e.counts} AND {self.prescribed} AND {holds(f'{e.outcome} <> {quoted(wanted)}')})")
+            for e in self.of(event)
+        ]
 
-    def largest(self, marked: list[tuple[_Event, Column]]) -> Column:
+    def largest(self, marked: list[tuple[_Event, str]]) -> str:
         """The highest slot number among the marked events of the subject."""
-        return self.ctx.max(
-            F.array_max(F.array(*[F.when(bad, F.lit(e.slot.index)) for e, bad in marked]))
-        )
+        numbers = array(f"CASE WHEN {bad} THEN {e.slot.index} END" for e, bad in marked)
+        return self.ctx.max(f"array_max({numbers})")
 
-    def at(self, event: str, index: Column, part: str) -> tuple[Column, Column]:
+    def at(self, event: str, index: str, part: str) -> tuple[str, str]:
         """Name and text of a field of the slot with a computed number."""
-        name = value = F.lit(None).cast("string")
-        for e in self.of(event):
-            here = index == e.slot.index
-            name = F.when(here, self.family.name(e.slot.index, part, event)).otherwise(name)
-            value = F.when(here, self.ctx.text(e.slot.column(part))).otherwise(value)
-        return name, value
+        slots = [e.slot for e in self.of(event)]
+        names = [f"WHEN {s.index} THEN {quoted(self.family.name(s.index, part, event))}" for s in slots]
+        texts = [f"WHEN {s.index} THEN {self.ctx.text(s.column(part))}" for s in slots]
+        return f"CASE {index} {' '.join(names)} END", f"CASE {index} {' '.join(texts)} END"
 
 
 def _events(names: Names) -> list[SubjectRule]:
@@ -364,28 +364,26 @@ def _events(names: Names) -> list[SubjectRule]:
         def make(ctx: AnyContext) -> list[Finding]:
             course, name = _Course(ctx, names), names.ever.format(event=event)
             cell, kept = ctx.col(name), course.any_counts
-            others = {
-                "1": ctx.any(kept & ~holds(cell == "1")),
-                "0": ctx.any(kept & ~holds(cell == "0")),
-                "null": ctx.any(kept & cell.isNotNull()),
-            }
-            some = ctx.any(any_true([e.some for e in course.of(event)]))
-            full = ctx.any(any_true([e.full for e in course.of(event)]))
-            fine = (~others["1"] & some) | (~(others["0"] & others["null"]) & ~full)
-            return [Finding(ctx.once(ctx.any(kept) & ~fine), name, ctx.text(name))]
+            not_all_1 = ctx.any(f"{kept} AND NOT {holds(f'{cell} = {quoted("1")}')}")
+            not_all_0 = ctx.any(f"{kept} AND NOT {holds(f'{cell} = {quoted("0")}')}")
+            not_all_null = ctx.any(f"{kept} AND {cell} IS NOT NULL")
+            some = ctx.any(any_true(e.some for e in course.of(event)))
+            full = ctx.any(any_true(e.full for e in course.of(event)))
+            fine = (
+                f"(NOT {not_all_1} AND {some}) OR (NOT ({not_all_0} AND {not_all_null}) AND NOT {full})"
+            )
+            return [Finding(ctx.once(f"{ctx.any(kept)} AND NOT ({fine})"), *_cell(ctx, name))]
 
         return make
 
     def first_slot(event: str):
         def make(ctx: AnyContext) -> list[Finding]:
             course = _Course(ctx, names)
-            full = ctx.any(any_true([e.full for e in course.of(event)]))
-            first = ctx.any(any_true([e.some for e in course.of(event) if e.slot.index == 1]))
-            shown = []
-            for part in ("date", "outcome"):
-                name = course.family.name(1, part, event)
-                shown += [name, ctx.text(name)]
-            return [Finding(ctx.once(full & ~first), *shown)]
+            full = ctx.any(any_true(e.full for e in course.of(event)))
+            first = ctx.any(any_true(e.some for e in course.of(event) if e.slot.index == 1))
+            shown = [course.family.name(1, part, event) for part in ("date", "outcome")]
+            return [Finding(ctx.once(f"{full} AND NOT {first}"),
+                            *_cell(ctx, shown[0]), *_cell(ctx, shown[1]))]
 
         return make
 
@@ -395,17 +393,14 @@ def _events(names: Names) -> list[SubjectRule]:
             late = course.after_rx(event)
             if not late:
                 return []
-            late_slots = {id(e): bad for e, bad in late}
             if ctx.settings.mode == "strict":
-                spared = any_true([
-                    e.counts & ~late_slots.get(id(e), F.lit(False)) for e in course.events
-                ])
+                others = [e.counts for e in course.events if e.slot.event != event]
+                spared = any_true([*others, *[f"{e.counts} AND NOT {bad}" for e, bad in late]])
             else:
-                spared = course.by_rx(event)
+                spared = course.supported(event)
+            bad = f"{ctx.any(any_true(bad for _, bad in late))} AND NOT {ctx.any(spared)}"
             index = course.largest(late)
-            bad = ctx.any(any_true([b for _, b in late])) & ~ctx.any(spared)
-            return [Finding(ctx.once(bad), names.rx_date, ctx.text(names.rx_date),
-                            *course.at(event, index, "date"))]
+            return [Finding(ctx.once(bad), *_cell(ctx, names.rx_date), *course.at(event, index, "date"))]
 
         return make
 
@@ -416,78 +411,65 @@ def _events(names: Names) -> list[SubjectRule]:
             if not against:
                 return []
             strict = ctx.settings.mode == "strict"
-            row = ctx.col(ctx.layout.row)
             candidates = []
-            for at, e in enumerate(course.events):
+            for place, e in enumerate(course.events):
                 mine = e.slot.event == event
                 if not (mine or strict):
                     continue
-                verdict = F.lit(None).cast("boolean")
+                verdict = "CAST(NULL AS BOOLEAN)"
                 if mine:
-                    verdict = F.when(course.prescribed, e.outcome != wanted)
-                candidates.append(F.when(
-                    e.counts if strict else e.full,
-                    F.struct(
-                        e.day.isNull().alias("undated"),
-                        e.day.alias("day"),
-                        row.alias("row"),
-                        F.lit(at).alias("place"),
-                        verdict.alias("outcome"),
-                    ),
-                ))
+                    verdict = f"CASE WHEN {course.prescribed} THEN {e.outcome} <> {quoted(wanted)} END"
+                candidates.append(
+                    f"CASE WHEN {e.counts if strict else e.full} THEN named_struct("
+                    f"'undated', {e.day} IS NULL, 'day', {e.day}, 'row', {ref(ctx.layout.row)}, "
+                    f"'place', {place}, 'outcome', {verdict}) END"
+                )
+            last = ctx.last(array(candidates))
+            bad = f"{ctx.any(any_true(bad for _, bad in against))} AND {holds(last)}"
             index = course.largest(against)
-            last = ctx.last(F.array(*candidates))
-            bad = ctx.any(any_true([b for _, b in against])) & holds(last)
-            return [Finding(ctx.once(bad), names.rx, ctx.text(names.rx),
-                            *course.at(event, index, "outcome"))]
+            return [Finding(ctx.once(bad), *_cell(ctx, names.rx), *course.at(event, index, "outcome"))]
 
         return make
 
     def started_before_rx(ctx: AnyContext) -> list[Finding]:
         course, start = _Course(ctx, names), ctx.col(names.shot_date(1))
-        fine = (
-            (course.prescribed & (start.isNull() | course.rx_date.isNull() | (start >= course.rx_date)))
-            | course.not_prescribed
-        )
-        bad = ctx.any(course.any_counts) & ctx.on_first(~holds(fine))
-        return [Finding(bad, names.rx_date, ctx.text(names.rx_date),
-                        names.shot_date(1), ctx.text(names.shot_date(1)))]
+        fits = f"{start} IS NULL OR {course.rx_date} IS NULL OR {start} >= {course.rx_date}"
+        fine = f"({course.prescribed} AND ({fits})) OR {course.not_prescribed}"
+        bad = f"{ctx.any(course.any_counts)} AND {ctx.on_first(f'NOT {holds(fine)}')}"
+        return [Finding(bad, *_cell(ctx, names.rx_date), *_cell(ctx, names.shot_date(1)))]
 
     def discontinuation(ctx: AnyContext) -> list[Finding]:
         course = _Course(ctx, names)
         code, day = ctx.col(names.discontinued), ctx.col(names.discontinued_date)
-        evidence = [course.rx_date, ctx.col(names.shot_date(1)), ctx.col(names.shot_date(2))]
+        traces = [course.rx_date, ctx.col(names.shot_date(1)), ctx.col(names.shot_date(2))]
         fine = (
-            code.isNull()
-            | ((code == "1") & (day.isNull() | holds(day >= course.rx_date)))
-            | ((code == "0") & any_true([d.isNotNull() for d in evidence]))
+            f"{code} IS NULL OR ({code} = '1' AND ({day} IS NULL OR {holds(f'{day} >= {course.rx_date}')})) "
+            f"OR ({code} = '0' AND {any_true(f'{d} IS NOT NULL' for d in traces)})"
         )
-        bad = ctx.any(course.any_counts) & ctx.on_first(~holds(fine))
-        return [Finding(bad, names.discontinued, ctx.text(names.discontinued))]
+        bad = f"{ctx.any(course.any_counts)} AND {ctx.on_first(f'NOT {holds(fine)}')}"
+        return [Finding(bad, *_cell(ctx, names.discontinued))]
 
     def extreme_event(event: str):
         def make(ctx: AnyContext) -> list[Finding]:
-            course = _Course(ctx, names)
-            mine = course.of(event)
-            any_future = ctx.any(any_true([e.counts & ctx.future(e.day) for e in mine]))
-            out = []
-            for e in mine:
-                future = ctx.on_first(e.counts & ctx.future(e.day))
-                early = ctx.on_first(e.counts & ctx.too_early(e.day))
-                out.append(Finding(
-                    future | (~any_future & early),
-                    course.family.name(e.slot.index, "date", event),
-                    ctx.text(e.slot.column("date")),
-                ))
-            return out
+            mine = _Course(ctx, names).of(event)
+            future = [f"{e.counts} AND {ctx.future(e.day)}" for e in mine]
+            early = [f"{e.counts} AND {ctx.too_early(e.day)}" for e in mine]
+            any_future = ctx.any(any_true(future))
+            return [
+                Finding(
+                    f"{ctx.on_first(f)} OR (NOT {any_future} AND {ctx.on_first(b)})",
+                    *_cell(ctx, names.events.name(e.slot.index, "date", event)),
+                )
+                for e, f, b in zip(mine, future, early, strict=True)
+            ]
 
         return make
 
     def extreme_day(name: str):
         def make(ctx: AnyContext) -> list[Finding]:
             course, day = _Course(ctx, names), ctx.col(name)
-            bad = course.any_counts & (ctx.future(day) | ctx.too_early(day))
-            return [Finding(ctx.on_first(bad), name, ctx.text(name))]
+            bad = f"{course.any_counts} AND ({ctx.future(day)} OR {ctx.too_early(day)})"
+            return [Finding(ctx.on_first(bad), *_cell(ctx, name))]
 
         return make
 

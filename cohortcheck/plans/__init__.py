@@ -5,23 +5,22 @@ from cohortcheck.plans.rules import (
     CellRule,
     CodeListRule,
     Finding,
-    IntervalRule,
     KeyPresentRule,
     KeyUniqueRule,
     Rule,
     SlotRule,
     SubjectRule,
+    interval_rule,
 )
 from cohortcheck.plans.report import assemble, for_export, report_filter, report_page, summarize
 from cohortcheck.plans.settings import Limits, Settings
-from cohortcheck.plans.validate import Pack, Result, validate, violations
+from cohortcheck.plans.validation import Pack, Result, validate, violations
 
 __all__ = [
     "Bound",
     "CellRule",
     "CodeListRule",
     "Finding",
-    "IntervalRule",
     "KeyPresentRule",
     "KeyUniqueRule",
     "Limits",
@@ -32,6 +31,7 @@ __all__ = [
     "SlotRule",
     "SubjectRule",
     "assemble",
+    "interval_rule",
     "for_export",
     "report_filter",
     "report_page",

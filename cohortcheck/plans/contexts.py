@@ -1,8 +1,8 @@
 """What a rule may ask about a row and about the other rows of its subject.
 
-A rule is written once, as column expressions over a context. Nearly every subject owns one row;
-for those, :class:`RowContext` answers every question from the row itself, so that all rules
-become plain expressions in a single pass without a shuffle. For subjects with several rows,
+A rule is written once, as SQL expressions over a context. Nearly every subject owns one row; for
+those, :class:`RowContext` answers every question from the row itself, so that all rules become
+plain expressions in a single pass without a shuffle. For subjects with several rows,
 :class:`SubjectContext` answers with columns that an aggregation over the subject, and the row
 before, have supplied.
 """
@@ -11,11 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortcheck.functions import text_of
+from cohortcheck.functions import holds, quoted, ref, text_of
 from cohortcheck.operators.keys import FIRST_ROW, N_ROWS
 from cohortcheck.operators.neighbours import PREVIOUS
 from cohortcheck.operators.normalize import Layout
@@ -25,86 +24,79 @@ from cohortcheck.plans.settings import Settings
 LAST = "_last"
 
 
-def holds(cond: Column) -> Column:
-    """``cond``, with an undecided outcome as false."""
-    return F.coalesce(cond, F.lit(False))
-
-
 @dataclass(frozen=True)
 class Previous:
     """The slot before a slot, in slot order within the subject: its number, and per field the
-    value, the column name and the value as report text."""
+    value, the column name and the value as report text, all as expressions."""
 
-    index: Column
-    values: dict[str, Column]
-    names: dict[str, Column]
-    texts: dict[str, Column]
+    index: str
+    values: dict[str, str]
+    names: dict[str, str]
+    texts: dict[str, str]
 
 
 @dataclass
 class Context:
     """Access to the cells of a row. ``used`` collects the columns that rules asked for."""
 
-    schema: T.StructType
+    types: dict[str, str]
     layout: Layout
     settings: Settings
     used: set[str] = field(default_factory=set)
 
     @property
     def columns(self) -> list[str]:
-        return self.layout.cells(self.schema.names)
+        return self.layout.cells(list(self.types))
 
-    def col(self, name: str | None, dtype: str = "string") -> Column:
+    def col(self, name: str | None, dtype: str = "string") -> str:
         """A cell, or a typed null when the table has no such column."""
-        if name not in self.schema.names:
-            return F.lit(None).cast(dtype)
+        if name not in self.types:
+            return f"CAST(NULL AS {dtype})"
         self.used.add(name)
-        return F.col(name)
+        return ref(name)
 
-    def text(self, name: str | None) -> Column:
+    def text(self, name: str | None) -> str:
         """A cell as report text."""
-        if name not in self.schema.names:
-            return F.lit(None).cast("string")
-        return text_of(self.col(name), self.schema[name].dataType)
+        return text_of(self.col(name), self.types.get(name, "string"))
 
-    def value(self, slot: Slot, family: SlotFamily, name: str) -> Column:
+    def value(self, slot: Slot, family: SlotFamily, name: str) -> str:
         """A field of a slot."""
         return self.col(slot.column(name), family.fields[name])
 
-    def future(self, day: Column) -> Column:
-        return holds(day > F.lit(self.settings.as_of))
+    def future(self, day: str) -> str:
+        return holds(f"{day} > DATE '{self.settings.as_of.isoformat()}'")
 
-    def too_early(self, day: Column) -> Column:
-        return holds(day < F.lit(self.settings.not_before))
+    def too_early(self, day: str) -> str:
+        return holds(f"{day} < DATE '{self.settings.not_before.isoformat()}'")
 
 
 @dataclass
 class RowContext(Context):
     """For subjects with one row: the row is the group."""
 
-    def any(self, cond: Column) -> Column:
+    def any(self, cond: str) -> str:
         """Does ``cond`` hold on some row of the subject?"""
         return holds(cond)
 
-    def max(self, value: Column) -> Column:
+    def max(self, value: str) -> str:
         """The largest ``value`` over the rows of the subject."""
         return value
 
-    def last(self, candidates: Column) -> Column:
+    def last(self, candidates: str) -> str:
         """Field ``outcome`` of the largest struct of an array, over all rows of the subject."""
-        return F.array_max(candidates)["outcome"]
+        return f"array_max({candidates}).outcome"
 
-    def on_first(self, cond: Column) -> Column:
+    def on_first(self, cond: str) -> str:
         """True on the first row of the subject for which ``cond`` holds."""
         return holds(cond)
 
-    def once(self, cond: Column) -> Column:
+    def once(self, cond: str) -> str:
         """True on the first row of the subject, if the subject-wide ``cond`` holds."""
         return holds(cond)
 
-    def is_repeated(self) -> Column:
+    def is_repeated(self) -> str:
         """Does the subject own several rows?"""
-        return F.lit(False)
+        return "false"
 
     def previous(self, family: SlotFamily, slots: list[Slot], at: int) -> Previous | None:
         """The slot before ``slots[at]``."""
@@ -112,9 +104,9 @@ class RowContext(Context):
             return None
         slot = slots[at - 1]
         return Previous(
-            F.lit(slot.index),
+            str(slot.index),
             {f: self.value(slot, family, f) for f in family.fields},
-            {f: F.lit(family.name(slot.index, f, slot.event)) for f in family.fields},
+            {f: quoted(family.name(slot.index, f, slot.event)) for f in family.fields},
             {f: self.text(slot.column(f)) for f in family.fields},
         )
 
@@ -123,79 +115,78 @@ class RowContext(Context):
 class SubjectContext(Context):
     """For subjects with several rows; gathers the aggregates and neighbour cells to supply."""
 
-    aggregates: list[Column] = field(default_factory=list)
+    aggregates: list[str] = field(default_factory=list)
     carried: list[str] = field(default_factory=list)
     grouped: bool = False
 
-    def _aggregate(self, value: Column) -> Column:
+    def _aggregate(self, value: str) -> str:
         self.grouped = True
-        name = f"_s{len(self.aggregates)}"
-        self.aggregates.append(value.alias(name))
-        return F.col(name)
+        if value not in self.aggregates:
+            self.aggregates.append(value)
+        return f"_s{self.aggregates.index(value)}"
 
-    def any(self, cond: Column) -> Column:
-        return self._aggregate(F.bool_or(holds(cond)))
+    def any(self, cond: str) -> str:
+        return self._aggregate(f"bool_or({holds(cond)})")
 
-    def max(self, value: Column) -> Column:
-        return self._aggregate(F.max(value))
+    def max(self, value: str) -> str:
+        return self._aggregate(f"max({value})")
 
-    def last(self, candidates: Column) -> Column:
-        return self._aggregate(F.max(F.array_max(candidates)))["outcome"]
+    def last(self, candidates: str) -> str:
+        return self._aggregate(f"max(array_max({candidates}))") + ".outcome"
 
-    def on_first(self, cond: Column) -> Column:
-        row = F.col(self.layout.row)
-        return holds(row == self._aggregate(F.min(F.when(cond, row))))
+    def on_first(self, cond: str) -> str:
+        row = ref(self.layout.row)
+        return holds(f"{row} = {self._aggregate(f'min(CASE WHEN {cond} THEN {row} END)')}")
 
-    def once(self, cond: Column) -> Column:
+    def once(self, cond: str) -> str:
         self.grouped = True
-        return holds(cond) & self._on_first_row()
+        return f"({holds(cond)} AND {self._on_first_row()})"
 
-    def is_repeated(self) -> Column:
+    def is_repeated(self) -> str:
         self.grouped = True
-        return F.lit(True)
+        return "true"
 
     def previous(self, family: SlotFamily, slots: list[Slot], at: int) -> Previous:
         """Slots are ordered by number and then by row. So on a later row it is the same slot of
         the row before; on the first row, the slot before of the subject's last row."""
         self.grouped = True
         this, before = slots[at], slots[at - 1] if at else None
-        first = self._on_first_row()
 
-        def cell(name: str, shown: bool) -> Column:
-            above = self._neighbour(PREVIOUS, this.column(name), family.fields[name], shown)
-            if before is None:
-                return F.when(~first, above)
-            last = self._neighbour(LAST, before.column(name), family.fields[name], shown)
-            return F.when(first, last).otherwise(above)
+        def either(on_first: str, on_later: str) -> str:
+            return f"(CASE WHEN {self._on_first_row()} THEN {on_first} ELSE {on_later} END)"
 
-        def either(last: int | str | None, above: int | str) -> Column:
-            return F.when(first, F.lit(last)).otherwise(F.lit(above))
+        def cell(part: str, shown: bool) -> str:
+            dtype = family.fields[part]
+            last = self._neighbour(LAST, before and before.column(part), dtype, shown)
+            return either(last, self._neighbour(PREVIOUS, this.column(part), dtype, shown))
 
-        def name(slot: Slot | None, part: str) -> str | None:
-            return slot and family.name(slot.index, part, slot.event)
+        def name(slot: Slot | None, part: str) -> str:
+            return quoted(slot and family.name(slot.index, part, slot.event))
 
         return Previous(
-            either(before and before.index, this.index),
+            either(str(before.index) if before else "NULL", str(this.index)),
             {f: cell(f, False) for f in family.fields},
             {f: either(name(before, f), name(this, f)) for f in family.fields},
             {f: cell(f, True) for f in family.fields},
         )
 
-    def _on_first_row(self) -> Column:
-        return F.col(self.layout.row) == F.col(FIRST_ROW)
+    def _on_first_row(self) -> str:
+        return f"{ref(self.layout.row)} = {FIRST_ROW}"
 
-    def _neighbour(self, source: str, name: str | None, dtype: str, shown: bool) -> Column:
+    def _neighbour(self, source: str, name: str | None, dtype: str, shown: bool) -> str:
         if name is None:
-            return F.lit(None).cast("string" if shown else dtype)
+            return f"CAST(NULL AS {'string' if shown else dtype})"
         self.used.add(name)
         if name not in self.carried:
             self.carried.append(name)
-        cell = F.col(source)[name]
-        return text_of(cell, self.schema[name].dataType) if shown else cell
+        cell = f"{source}.{ref(name)}"
+        return text_of(cell, self.types[name]) if shown else cell
 
     def facts(self, rows: DataFrame) -> DataFrame:
         """One record per subject: its row count, the aggregates, and its last row if needed."""
-        wanted = list(self.aggregates)
+        wanted = [f"count(1) AS {N_ROWS}"]
+        wanted += [f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]
         if self.carried:
-            wanted.append(F.max_by(F.struct(*self.carried), F.col(self.layout.row)).alias(LAST))
-        return rows.groupBy(*self.layout.keys).agg(F.count(F.lit(1)).alias(N_ROWS), *wanted)
+            carried = ", ".join(ref(c) for c in self.carried)
+            wanted.append(f"max_by(struct({carried}), {ref(self.layout.row)}) AS {LAST}")
+        return rows.groupBy(*self.layout.keys).agg(*[F.expr(w) for w in wanted])

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortcheck.functions import ref
 from cohortcheck.operators.normalize import Layout
 from cohortcheck.plans.rules import Rule
 
@@ -20,8 +21,8 @@ def assemble(found: DataFrame, rules: Iterable[Rule], layout: Layout) -> DataFra
         [(r.rule_id, r.description, r.short_message) for r in rules],
         "rule_id string, description string, short_message string",
     )
-    return found.join(F.broadcast(texts), "rule_id").select(
-        *layout.keys,
+    return found.join(F.broadcast(texts), "rule_id").selectExpr(
+        *map(ref, layout.keys),
         "rule_id",
         "description",
         "column1",
@@ -29,15 +30,15 @@ def assemble(found: DataFrame, rules: Iterable[Rule], layout: Layout) -> DataFra
         "column2",
         "value2",
         "short_message",
-        days_between("column1", "value1", "column2", "value2").alias("date_difference"),
+        f"{days_between('column1', 'value1', 'column2', 'value2')} AS date_difference",
     )
 
 
-def days_between(column1: str, value1: str, column2: str, value2: str) -> Column:
+def days_between(column1: str, value1: str, column2: str, value2: str) -> str:
     """Days from the first to the second value as text, if both columns are named as dates."""
-    dated = F.lower(column1).contains("date") & F.lower(column2).contains("date")
-    days = F.datediff(F.col(value2).try_cast("date"), F.col(value1).try_cast("date"))
-    return F.when(dated, days.cast("string"))
+    dated = f"contains(lower({column1}), 'date') AND contains(lower({column2}), 'date')"
+    days = f"datediff(try_cast({value2} AS DATE), try_cast({value1} AS DATE))"
+    return f"CASE WHEN {dated} THEN CAST({days} AS STRING) END"
 
 
 def summarize(report: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Rule kinds. A rule names what is wrong and lists the findings it may make on a row."""
+"""Rule kinds. A rule names what is wrong and lists the findings it may make on a row.
+
+Conditions and values are SQL expressions. They reach cells through the context, which knows
+whether a subject owns one row or several.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from dataclasses import dataclass
 
-from cohortcheck.functions import Selector
-from cohortcheck.functions.parsing import WHITESPACE
+from cohortcheck.functions import Selector, one_of, quoted, ref
+from cohortcheck.functions.parsing import trimmed
 from cohortcheck.operators.normalize import Layout
 from cohortcheck.operators.reshape import SlotFamily
 from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectContext
@@ -20,13 +20,16 @@ AnyContext = RowContext | SubjectContext
 
 @dataclass(frozen=True)
 class Finding:
-    """One possible violation on a row: when it happens, and the cells to show."""
+    """One possible violation on a row: when it happens, and the cells to show.
 
-    when: Column
-    column1: str | Column
-    value1: Column
-    column2: str | Column | None = None
-    value2: Column | None = None
+    All parts are expressions; the columns are text expressions that name the shown cells.
+    """
+
+    when: str
+    column1: str
+    value1: str
+    column2: str | None = None
+    value2: str | None = None
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,7 @@ class KeyPresentRule(Rule):
     """The subject key must be a number; checked on the rows that normalising would drop."""
 
     def keyless(self, layout: Layout) -> Finding:
-        return Finding(F.lit(True), layout.subject, F.col(layout.raw_key))
+        return Finding("true", quoted(layout.subject), ref(layout.raw_key))
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
         return []
@@ -57,7 +60,8 @@ class KeyUniqueRule(Rule):
     """A subject must own one row; every row of a repeated key is reported."""
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
-        return [Finding(ctx.is_repeated(), ctx.layout.subject, ctx.text(ctx.layout.subject))]
+        key = ctx.layout.subject
+        return [Finding(ctx.is_repeated(), quoted(key), ctx.text(key))]
 
 
 @dataclass(frozen=True)
@@ -69,7 +73,7 @@ class CellRule(Rule):
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
         return [
-            Finding(~ctx.text(name).isin(*self.allowed), name, ctx.text(name))
+            Finding(f"NOT {one_of(ctx.text(name), self.allowed)}", quoted(name), ctx.text(name))
             for name in self.selector(ctx.columns)
         ]
 
@@ -87,25 +91,27 @@ class CodeListRule(Rule):
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
         code = rf"\s*(?:{'|'.join(self.allowed)})\s*"
+        whole = quoted(f"^{code}(?:,{code})*$")
         return [
-            Finding(~ctx.text(name).rlike(f"^{code}(?:,{code})*$"), name, ctx.text(name))
+            Finding(f"NOT {ctx.text(name)} RLIKE {whole}", quoted(name), ctx.text(name))
             for name in self.selector(ctx.columns)
         ]
 
-    def bad_code(self, rule_id: Column, code: Column) -> Column:
-        return (rule_id == self.rule_id) & ~F.btrim(code, F.lit(WHITESPACE)).isin(*self.allowed)
+    def bad_code(self, code: str) -> str:
+        return f"rule_id = {quoted(self.rule_id)} AND NOT {one_of(trimmed(code), self.allowed)}"
 
 
 @dataclass(frozen=True)
 class SlotRule(Rule):
-    """``check(ctx, cells, previous)`` on each slot; ``show`` names the cells to report.
+    """``check(ctx, cells, previous)`` on each slot of a family.
 
-    ``cells`` maps fields to columns of the slot, ``previous`` is the slot before or None. ``show``
-    lists one or two fields of the slot, or ``"<field"`` for the field of the slot before.
+    ``cells`` maps fields to expressions, ``previous`` is the slot before. ``show`` lists the one or
+    two fields to report; ``"<date"`` is the field of the slot before. A rule that shows no such
+    field gets no ``previous``.
     """
 
     family: SlotFamily
-    check: Callable[[Context, dict[str, Column], Previous | None], Column | None]
+    check: Callable[[Context, dict[str, str], Previous | None], str]
     show: tuple[str, ...]
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
@@ -117,12 +123,13 @@ class SlotRule(Rule):
             if looks_back and previous is None:
                 continue
             cells = {f: ctx.value(slot, self.family, f) for f in self.family.fields}
-            shown: list = []
+            shown: list[str] = []
             for f in self.show:
                 if f.startswith("<"):
                     shown += [previous.names[f[1:]], previous.texts[f[1:]]]
                 else:
-                    shown += [self.family.name(slot.index, f, slot.event), ctx.text(slot.column(f))]
+                    name = self.family.name(slot.index, f, slot.event)
+                    shown += [quoted(name), ctx.text(slot.column(f))]
             out.append(Finding(self.check(ctx, cells, previous), *shown))
         return out
 
@@ -140,38 +147,38 @@ class Bound:
     latest: int
     after_index: int | None = None
 
-    def applies(self, code: Column, index: Column) -> Column:
+    def applies(self, previous: Previous, field: str) -> str:
+        code = previous.values[field]
         if self.after_index is not None:
-            return (index == self.after_index) & ~code.isin(*self.codes)
-        return code.isNull() if self.codes is None else code.isin(*self.codes)
-
-
-@dataclass(frozen=True)
-class IntervalRule(SlotRule):
-    """The days since the slot before must lie within the first bound that applies.
+            return f"{previous.index} = {self.after_index} AND NOT {one_of(code, self.codes)}"
+        return f"{code} IS NULL" if self.codes is None else one_of(code, self.codes)
+
+
+def interval_rule(
+    rule_id: str,
+    description: str,
+    short_message: str,
+    family: SlotFamily,
+    side: str,
+    bounds: tuple[Bound, ...],
+    exempt: tuple[str, ...] = (),
+    day: str = "date",
+    code: str = "dose",
+) -> SlotRule:
+    """The days since the slot before must not be beyond the first bound that applies.
 
     ``side`` is ``late`` or ``early``; slots whose own code is in ``exempt`` pass.
     """
 
-    check: None = None
-    show: tuple[str, ...] = ()
-    side: str = "late"
-    day: str = "date"
-    code: str = "dose"
-    exempt: tuple[str, ...] = ()
-    bounds: tuple[Bound, ...] = field(default_factory=tuple)
-
-    def __post_init__(self):
-        object.__setattr__(self, "check", self._outside)
-        object.__setattr__(self, "show", (f"<{self.day}", self.day))
+    def outside(ctx: Context, cells: dict[str, str], previous: Previous) -> str:
+        days = f"datediff({cells[day]}, {previous.values[day]})"
+        branches = [f"WHEN {one_of(cells[code], exempt)} THEN false"] if exempt else []
+        for bound in bounds:
+            wrong = f"> {bound.latest}" if side == "late" else f"< {bound.earliest}"
+            branches.append(f"WHEN {bound.applies(previous, code)} THEN {days} {wrong}")
+        return f"CASE {' '.join(branches)} ELSE false END"
 
-    def _outside(self, ctx: Context, cells: dict[str, Column], previous: Previous | None) -> Column:
-        days = F.datediff(cells[self.day], previous.values[self.day])
-        outside = F.when(cells[self.code].isin(*self.exempt), F.lit(False))
-        for bound in self.bounds:
-            wrong = days > bound.latest if self.side == "late" else days < bound.earliest
-            outside = outside.when(bound.applies(previous.values[self.code], previous.index), wrong)
-        return outside.otherwise(False)
+    return SlotRule(rule_id, description, short_message, family, outside, (f"<{day}", day))
 
 
 @dataclass(frozen=True)
@@ -182,8 +189,3 @@ class SubjectRule(Rule):
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
         return self.make(ctx)
-
-
-def any_true(conds: list[Column]) -> Column:
-    """Does one of the conditions hold?"""
-    return reduce(lambda a, b: a | b, conds, F.lit(False))

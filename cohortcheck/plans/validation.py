@@ -6,18 +6,17 @@ import tempfile
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from cohortcheck.functions import Selector
+from cohortcheck.functions import Selector, any_true, array, one_of, quoted, ref
 from cohortcheck.operators.joins import KeyStats, attach
-from cohortcheck.operators.keys import FIRST_ROW, LAST_ROW, N_ROWS, repeated_keys
+from cohortcheck.operators.keys import N_ROWS, repeated_keys
 from cohortcheck.operators.neighbours import with_neighbour_rows
 from cohortcheck.operators.normalize import Layout, normalize
 from cohortcheck.operators.profile import missing_profile
 from cohortcheck.plans.contexts import RowContext, SubjectContext
 from cohortcheck.plans.report import assemble
-from cohortcheck.plans.rules import CodeListRule, Finding, KeyPresentRule, Rule, any_true
+from cohortcheck.plans.rules import CodeListRule, Finding, KeyPresentRule, Rule
 from cohortcheck.plans.settings import Settings
 
 
@@ -55,7 +54,7 @@ def validate(df: DataFrame, pack: Pack, settings: Settings, layout: Layout | Non
     """Check an all-text table against a pack: the report and the missing-value profile."""
     layout = layout or Layout()
     typed = normalize(df, layout, drop_keyless=False)
-    keyed = typed.where(F.col(layout.subject).isNotNull())
+    keyed = typed.where(f"{ref(layout.subject)} IS NOT NULL")
     profiled = pack.profile_columns(layout.cells(keyed.columns))
     return Result(
         assemble(violations(typed, pack, settings, layout), pack.rules, layout),
@@ -71,8 +70,9 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
     second branch, which is left out when there are none or when no rule looks past a row.
     """
     keys, row = layout.keys, layout.row
-    single = RowContext(typed.schema, layout, settings)
-    group = SubjectContext(typed.schema, layout, settings)
+    types = dict(typed.dtypes)
+    single = RowContext(types, layout, settings)
+    group = SubjectContext(types, layout, settings)
     row_findings = list(_findings(pack.rules, single))
     group_findings = list(_findings(pack.rules, group))
     if not group.grouped:
@@ -116,55 +116,50 @@ def _emit(
     layout: Layout,
     keyless: bool = True,
 ) -> DataFrame:
-    """One output row per finding that holds. All findings share one pass over ``rows``: each is an
-    array element that is null unless it holds, and the nulls are dropped as the array unrolls."""
-    entries = F.array(*[_entry(rule_id, f) for rule_id, f in findings]) if findings else None
+    """One output row per finding that holds.
+
+    All findings share one pass over ``rows``: each is an element of an array column that is null
+    unless it holds, and the nulls are dropped as the array unrolls. The array is a column of its
+    own, so that Spark may compile it in small methods; the outer unrolling keeps the optimizer from
+    computing it twice to test for emptiness.
+    """
+    nothing = Finding("false", "''", "''")
+    held = array(_entry(rule_id, f) for rule_id, f in findings or [("", nothing)])
     if keyless:
-        without_key = [
-            _entry(rule.rule_id, rule.keyless(layout)) for rule in rules if isinstance(rule, KeyPresentRule)
-        ]
-        is_keyless = F.col(layout.subject).isNull()
-        if not without_key:
-            rows = rows.where(~is_keyless)
-        elif entries is None:
-            rows, entries = rows.where(is_keyless), F.array(*without_key)
+        no_key = f"{ref(layout.subject)} IS NULL"
+        entries = [_entry(r.rule_id, r.keyless(layout)) for r in rules if isinstance(r, KeyPresentRule)]
+        if not entries:
+            rows = rows.where(f"NOT {no_key}")
+        elif not findings:
+            rows, held = rows.where(no_key), array(entries)
         else:
-            entries = F.when(is_keyless, F.array(*without_key)).otherwise(entries)
-    if entries is None:
-        entries = F.array(_entry("", Finding(F.lit(False), "", F.lit(None))))
-    out = rows.select(*layout.keys, layout.row, F.inline(entries)).where(F.col("rule_id").isNotNull())
-    return _per_bad_code(out, [rule for rule in rules if isinstance(rule, CodeListRule)])
-
-
-def _entry(rule_id: str, finding: Finding) -> Column:
-    def name(value: str | Column | None) -> Column:
-        return value if isinstance(value, Column) else F.lit(value).cast("string")
-
-    def cell(value: Column | None) -> Column:
-        return F.lit(None).cast("string") if value is None else value.cast("string")
-
-    return F.when(
-        finding.when,
-        F.struct(
-            F.lit(rule_id).alias("rule_id"),
-            name(finding.column1).alias("column1"),
-            cell(finding.value1).alias("value1"),
-            name(finding.column2).alias("column2"),
-            cell(finding.value2).alias("value2"),
-        ),
-    )
+            held = f"CASE WHEN {no_key} THEN {array(entries)} ELSE {held} END"
+    keep = [ref(c) for c in (*layout.keys, layout.row)]
+    found = rows.selectExpr(*keep, f"{held} AS _held").selectExpr(*keep, "inline_outer(_held)")
+    lists = [rule for rule in rules if isinstance(rule, CodeListRule)]
+    return _per_bad_code(found.where("rule_id IS NOT NULL"), lists)
+
+
+def _entry(rule_id: str, finding: Finding) -> str:
+    shown = {
+        "rule_id": quoted(rule_id),
+        "column1": finding.column1,
+        "value1": finding.value1,
+        "column2": finding.column2 or quoted(None),
+        "value2": finding.value2 or quoted(None),
+    }
+    fields = ", ".join(f"'{name}', {value}" for name, value in shown.items())
+    return f"CASE WHEN {finding.when} THEN named_struct({fields}) END"
 
 
 def _per_bad_code(found: DataFrame, rules: list[CodeListRule]) -> DataFrame:
     """Repeat the violations of comma-list rules once per bad code."""
     if not rules:
         return found
-    ours = F.col("rule_id").isin(*[rule.rule_id for rule in rules])
-    codes = F.when(ours, F.split("value1", ",")).otherwise(F.array(F.lit(None).cast("string")))
-    bad = any_true([rule.bad_code(F.col("rule_id"), F.col("_code")) for rule in rules])
-    return (
-        found.select("*", F.explode(codes).alias("_code")).where(F.col("_code").isNull() | bad).drop("_code")
-    )
+    ours = one_of("rule_id", [rule.rule_id for rule in rules])
+    codes = f"explode(CASE WHEN {ours} THEN split(value1, ',') ELSE array(CAST(NULL AS STRING)) END)"
+    bad = any_true(["_code IS NULL", *[rule.bad_code("_code") for rule in rules]])
+    return found.selectExpr("*", f"{codes} AS _code").where(bad).drop("_code")
 
 
 def use_checkpoints(spark: SparkSession) -> None:
