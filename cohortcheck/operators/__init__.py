@@ -3,7 +3,7 @@
 from cohortcheck.operators.joins import attach
 from cohortcheck.operators.keys import repeated_keys
 from cohortcheck.operators.neighbours import with_neighbour_rows
-from cohortcheck.operators.normalize import Layout, normalize
+from cohortcheck.operators.normalize import Layout, clean_cells, normalize
 from cohortcheck.operators.profile import missing_profile
 from cohortcheck.operators.reshape import Slot, SlotFamily, explode_codes, to_long
 
@@ -12,6 +12,7 @@ __all__ = [
     "Slot",
     "SlotFamily",
     "attach",
+    "clean_cells",
     "explode_codes",
     "missing_profile",
     "normalize",

@@ -47,31 +47,34 @@ class Layout:
         return [c for c in columns if c not in self.reserved]
 
 
-def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool = True) -> DataFrame:
-    """Null tokens to null, mixed dates to dates, numbers to doubles, absent optional columns added.
-
-    Two projections and no shuffle. Rows whose key is not a number are dropped, or kept with a null
-    key when ``drop_keyless`` is false. A null ``by`` value becomes empty text, so that it still
-    groups and joins.
-    """
-    layout = layout or Layout()
+def clean_cells(df: DataFrame, layout: Layout) -> DataFrame:
+    """Every cell trimmed, blanks and null tokens to null; the key moves to ``raw_key``."""
     types = dict(df.dtypes)
     for name in (layout.subject, layout.row, *layout.by):
         if name not in types:
             raise ValueError(f"missing required column(s): {name}")
-    cells = layout.cells(df.columns)
-    by = [ref(c) for c in layout.by]
 
     def clean(name: str) -> str:
         cell = ref(name) if types[name] == "string" else f"CAST({ref(name)} AS STRING)"
         return clean_text(cell, layout.null_tokens)
 
-    cleaned = df.selectExpr(
-        *[f"coalesce(CAST({c} AS STRING), '') AS {c}" for c in by],
+    return df.selectExpr(
+        *[f"coalesce(CAST({ref(c)} AS STRING), '') AS {ref(c)}" for c in layout.by],
         f"{clean(layout.subject)} AS {ref(layout.raw_key)}",
         f"CAST({ref(layout.row)} AS BIGINT) AS {ref(layout.row)}",
-        *[f"{clean(c)} AS {ref(c)}" for c in cells],
+        *[f"{clean(c)} AS {ref(c)}" for c in layout.cells(df.columns)],
     )
+
+
+def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool = True) -> DataFrame:
+    """Null tokens to null, mixed dates to dates, numbers to doubles, absent optional columns added.
+
+    Two projections and no shuffle. Rows whose key is not a number are dropped, or kept with a null
+    key when ``drop_keyless`` is false. A null ``by`` value becomes empty text, so that it still
+    groups and joins.
+    """
+    layout = layout or Layout()
+    cells = layout.cells(df.columns)
     dates = set(layout.dates(cells))
     numbers = set(layout.numbers(cells)) - dates
 
@@ -79,8 +82,8 @@ def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool =
         cell = ref(name)
         return f"{mixed_date(cell) if name in dates else number(cell) if name in numbers else cell} AS {cell}"
 
-    out = cleaned.selectExpr(
-        *by,
+    out = clean_cells(df, layout).selectExpr(
+        *map(ref, layout.by),
         f"{number(ref(layout.raw_key))} AS {ref(layout.subject)}",
         ref(layout.raw_key),
         ref(layout.row),
