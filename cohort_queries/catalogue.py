@@ -13,7 +13,8 @@ from cohortcheck.functions import any_of, column, contains
 from cohortcheck.operators import clean_cells, explode_codes, missing_profile, to_long
 from cohortcheck.packs import SHORT_NAMES, injectables
 from cohortcheck.plans import for_export, report_filter, report_page, summarize
-from cohortcheck.sources import choose_site, list_sites
+from cohortcheck.plans.validation import use_checkpoints
+from cohortcheck.sources import choose_site, list_sites, read_cells, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +26,35 @@ PACK = injectables()
 DOMAIN_RULES = [f"V{i:02d}" for i in range(3, 24)]
 
 
+_STAGED: dict[tuple[str, str, tuple[str, ...]], str] = {}
+
+
+def _staged(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The all-text cohort as a Parquet table, derived from ``orders`` once per session and folder.
+
+    It stands for the file that a site would send in, so queries start from a scan.
+    """
+    tune(spark)
+    use_checkpoints(spark)
+    context = spark.sparkContext
+    key = (context.applicationId, sf_dir, by)
+    site = ["concat('site-', k % 3) AS site"] if by else []
+    wide = cohort(spark, sf_dir).selectExpr(*site, "* EXCEPT (k)")
+    if key not in _STAGED:
+        path = f"{context.getCheckpointDir()}/cohort-{len(_STAGED)}"
+        stage(wide, path, LAYOUT.row, by)
+        _STAGED[key] = path
+    return read_cells(spark, _STAGED[key]).select(*wide.columns)
+
+
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The all-text cohort."""
-    return cohort(tune(spark), sf_dir).drop("k")
+    return _staged(spark, sf_dir)
 
 
 def table_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a site column."""
-    return cohort(tune(spark), sf_dir).selectExpr("concat('site-', k % 3) AS site", "* EXCEPT (k)")
+    """The same with a site column, in one folder per site."""
+    return _staged(spark, sf_dir, ("site",))
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 # Operators with more columns than this leave whole-stage codegen. Its one method per operator would
 # grow past what the JVM compiles to machine code (and, with all rules, past what it accepts); the
 # separate projections are generated in small methods and ran about twice as fast.
-WIDE_OPERATOR_FIELDS = 20
+WIDE_OPERATOR_FIELDS = 12
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortcheck.functions import ref
+
 
 def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """A table with every cell as text, as CSV with a header or as Parquet; never inferred.
@@ -14,7 +16,7 @@ def read_cells(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     if fmt == "csv":
         return spark.read.options(**{"header": "true", "inferSchema": "false", **options}).csv(path)
     df = spark.read.options(**options).format(fmt).load(path)
-    return df.select(*[F.col(f.name).cast("string") for f in df.schema.fields])
+    return df.selectExpr(*[f"CAST({ref(c)} AS STRING) AS {ref(c)}" for c in df.columns])
 
 
 def stage(df: DataFrame, path: str, row: str = "row_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -28,7 +30,7 @@ def stage(df: DataFrame, path: str, row: str = "row_id", by: tuple[str, ...] = (
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     staged = df.sparkSession.read.parquet(path)
-    return staged.select(*[F.col(c).cast("string") if c in by else F.col(c) for c in df.columns])
+    return staged.selectExpr(*[f"CAST({ref(c)} AS STRING) AS {ref(c)}" if c in by else ref(c) for c in df.columns])
 
 
 def list_sites(df: DataFrame, site: str = "site") -> DataFrame:
