@@ -26,7 +26,7 @@ PACK = injectables()
 DOMAIN_RULES = [f"V{i:02d}" for i in range(3, 24)]
 
 
-_STAGED: dict[tuple[str, str, tuple[str, ...]], str] = {}
+_STAGED: dict[tuple[str, str, tuple[str, ...]], tuple[str, list[str]]] = {}
 
 
 def _staged(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -38,13 +38,14 @@ def _staged(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataF
     use_checkpoints(spark)
     context = spark.sparkContext
     key = (context.applicationId, sf_dir, by)
-    site = ["concat('site-', k % 3) AS site"] if by else []
-    wide = cohort(spark, sf_dir).selectExpr(*site, "* EXCEPT (k)")
     if key not in _STAGED:
+        site = ["concat('site-', k % 3) AS site"] if by else []
+        wide = cohort(spark, sf_dir).selectExpr(*site, "* EXCEPT (k)")
         path = f"{context.getCheckpointDir()}/cohort-{len(_STAGED)}"
         stage(wide, path, LAYOUT.row, by)
-        _STAGED[key] = path
-    return read_cells(spark, _STAGED[key]).select(*wide.columns)
+        _STAGED[key] = path, wide.columns
+    path, columns = _STAGED[key]
+    return read_cells(spark, path).select(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str) -> DataFrame:
