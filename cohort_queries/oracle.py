@@ -6,7 +6,7 @@ slot by slot and subject by subject.
 
 from __future__ import annotations
 
-from cohort_queries.cohort import CODED, N_EVENTS, N_SHOTS, N_VIRAL_LOADS, cohort_columns, cohort_sql
+from cohort_queries.cohort import N_EVENTS, N_SHOTS, N_VIRAL_LOADS, cohort_columns, cohort_sql
 from cohortcheck.packs import injectables
 
 AS_OF = "2024-06-30"
