@@ -96,7 +96,7 @@ def words_of(text: Column) -> Column:
 
 # ---- hashing of words and shingles, a few MB of text at a time -------------------------------------
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
