@@ -269,7 +269,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in examples.collect()]
     prior = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1.0)
     index = context.broadcast(Index.of(rows, idf))
-    table = _calibration(checkpointed(_voted(examples, index, prior, leave_out=True)), prior)
+    # A few thousand short rows would share one partition, and so one core.
+    spread = examples.repartition(context.defaultParallelism)
+    table = _calibration(checkpointed(_voted(spread, index, prior, leave_out=True)), prior)
     calibrated = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])[_bin(F.col("vote"))]
     voted = _voted(vectors, index, prior).select("doc_id", "evidence", calibrated.alias("score"))
     return voted.select(
