@@ -1,4 +1,4 @@
-"""The cohort table: one wide, all-text row per customer, derived from ``orders``.
+"""The cohort table: one wide, all-text row per order, derived from all of ``orders``.
 
 The given tables hold no cohort data, so every registered query derives one (FIXTURES.md §3).
 Each column is a SQL expression that Spark and DuckDB read alike; Spark evaluates it through the
@@ -7,8 +7,7 @@ DataFrame API, DuckDB through :func:`cohort_sql`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 N_SHOTS = 5
 N_VIRAL_LOADS = 3
@@ -56,7 +55,7 @@ def _cell(offset: str, style: str) -> str:
 
 
 def cohort_columns() -> dict[str, str]:
-    """Column name -> expression over ``k`` (customer) and ``ok1``..``ok5`` (its first orders)."""
+    """Column name -> expression over ``k`` (the order, as subject) and ``ok1``..``ok5`` (a number per shot)."""
     out: dict[str, str] = {}
     for i, (name, low, mod) in enumerate(CODED, start=1):
         out[name] = (
@@ -121,21 +120,21 @@ def cohort_columns() -> dict[str, str]:
     return out
 
 
+def _shot_numbers() -> dict[str, str]:
+    """A number per shot from the order and its customer; an order has one to five shots."""
+    return {
+        f"ok{n}": f"CASE WHEN {n} <= 1 + o_orderkey % {N_SHOTS} THEN o_orderkey + {n - 1} * o_custkey END"
+        for n in range(1, N_SHOTS + 1)
+    }
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cohort table on Spark, with ``copy`` as its row id.
 
-    Only the first five orders of a customer matter; the filter on the row number lets Spark keep
-    five rows per customer and task before the shuffle, so a customer with very many orders stays
-    cheap. Order keys are picked with a numeric ``max``, which keeps hash aggregation.
+    Every order becomes a subject of its own, so the table grows with ``orders`` and nothing is shuffled.
     """
-    by_order = Window.partitionBy("k").orderBy("ok")
-    firsts = (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok"))
-        .withColumn("n", F.row_number().over(by_order))
-        .where(F.col("n") <= N_SHOTS)
-        .groupBy("k")
-        .agg(*[F.max(F.when(F.col("n") == n, F.col("ok"))).alias(f"ok{n}") for n in range(1, N_SHOTS + 1)])
+    firsts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey AS k", *[f"{expr} AS {name}" for name, expr in _shot_numbers().items()]
     )
     copies = firsts.selectExpr(
         "*",
@@ -150,9 +149,9 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cohort_sql() -> str:
-    """The same table as DuckDB common table expressions named ``o``, ``w`` and ``f``."""
+    """The same table as DuckDB common table expressions named ``w``, ``c`` and ``f``."""
     cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in cohort_columns().items())
-    picks = ", ".join(f"max(CASE WHEN n = {n} THEN ok END) AS ok{n}" for n in range(1, N_SHOTS + 1))
+    picks = ", ".join(f"{expr} AS {name}" for name, expr in _shot_numbers().items())
     branches = "\n  UNION ALL\n  ".join(
         f"SELECT {key} AS subject_id, {copy} AS copy, * FROM c{where}"
         for key, copy, where in (
@@ -161,11 +160,7 @@ def cohort_sql() -> str:
             ("concat('X-', CAST(k AS STRING))", 2, " WHERE k % 89 = 0"),
         )
     )
-    return f"""o AS (
-  SELECT o_custkey AS k, o_orderkey AS ok,
-         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n
-  FROM orders
-), w AS (SELECT k, {picks} FROM o GROUP BY k
+    return f"""w AS (SELECT o_orderkey AS k, {picks} FROM orders
 ), c AS (SELECT k,
   {cols}
   FROM w

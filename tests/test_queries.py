@@ -38,5 +38,11 @@ def test_query(spark, duck, name):
     assert Counter(map(tuple, df.select(*columns).collect())) == want
 
 
+def test_every_order_is_a_subject(spark, duck):
+    rows = catalogue.table(spark, SF_DIR).where("copy = 0").select("subject_id").collect()
+    orders = duck.execute("SELECT CAST(o_orderkey AS VARCHAR) FROM orders").fetchall()
+    assert Counter(r[0] for r in rows) == Counter(r[0] for r in orders)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
