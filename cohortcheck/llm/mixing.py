@@ -46,9 +46,9 @@ def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) ->
     """
     targets = {}
     for margin, power in exponents.items():
-        by = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t"))
-        total = by.agg(F.sum("t")).first()[0] or 1.0
-        by = checkpointed(by.select(margin, (F.col("t") / total).alias("t"), F.lit(1.0).alias(f"{margin}_factor")))
+        by = cells.groupBy(margin).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("_target"))
+        total = by.agg(F.sum("_target")).first()[0] or 1.0
+        by = checkpointed(by.select(margin, (F.col("_target") / total).alias("_target"), F.lit(1.0).alias(f"{margin}_factor")))
         targets[margin] = by, small_enough(by)
 
     def hinted(table: DataFrame, margin: str) -> DataFrame:
@@ -62,13 +62,13 @@ def rake(cells: DataFrame, exponents: dict[str, float], rounds: int = ROUNDS) ->
             weight = weight * F.col(f"{margin}_factor")
         return joined, weight
 
-    factors = {margin: by.drop("t") for margin, (by, _) in targets.items()}
+    factors = {margin: by.drop("_target") for margin, (by, _) in targets.items()}
     for _ in range(rounds):
         for margin in exponents:
             joined, weight = weighted({m: t for m, t in factors.items() if m != margin})
-            sums = joined.groupBy(margin).agg(F.sum(weight).alias("s"))
-            scale = F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias(f"{margin}_factor")
-            target = hinted(targets[margin][0].select(margin, "t"), margin)
+            sums = joined.groupBy(margin).agg(F.sum(weight).alias("_sum"))
+            scale = F.when(F.col("_sum") > 0, F.col("_target") / F.col("_sum")).otherwise(0.0).alias(f"{margin}_factor")
+            target = hinted(targets[margin][0].select(margin, "_target"), margin)
             factors[margin] = checkpointed(sums.join(target, margin).select(margin, scale))
     joined, weight = weighted(factors)
     return joined.select(*exponents, "tokens", weight.alias("weight"))
