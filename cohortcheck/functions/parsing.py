@@ -20,9 +20,15 @@ _MONTH_DAY_YEAR = r"(?s)^(?:(\d{1,2})/(\d{1,2})/(\d{1,4}).*|.*)$"
 _YEAR_MONTH_DAY = r"(?s)^(?:(\d{1,4})-(\d{1,2})-(\d{1,2}).*|.*)$"
 
 
+# White space of Unicode, as the escapes of a SQL literal, and as a class in a regular expression.
+_BLANKS = " \\t\\n\\u000B\\u000C\\r\\u0085\\u00A0\\u1680" + "".join(f"\\u200{c}" for c in "0123456789A")
+_BLANKS += "\\u2028\\u2029\\u202F\\u205F\\u3000"
+BLANK_CLASS = r"[\s\x85\p{Z}]"
+
+
 def trimmed(cell: str) -> str:
     """The cell without white space at its ends."""
-    return rf"btrim({cell}, ' \t\r\n')"
+    return f"btrim({cell}, '{_BLANKS}')"
 
 
 def clean_text(cell: str, tokens: tuple[str, ...] = NULL_TOKENS) -> str:
@@ -46,8 +52,8 @@ def mixed_date(cell: str) -> str:
         f"CASE WHEN contains({cell}, '/') THEN "
         f"try_cast(regexp_replace({cell}, {quoted(_MONTH_DAY_YEAR)}, '000$3-$1-$2') AS DATE) "
         f"WHEN contains({cell}, '-') THEN "
-        f"CASE WHEN length({cell}) = 10 AND substring({cell}, 5, 1) = '-' THEN try_cast({cell} AS DATE) "
-        f"ELSE try_cast(regexp_replace({cell}, {quoted(_YEAR_MONTH_DAY)}, '000$1-$2-$3') AS DATE) END "
+        f"coalesce(CASE WHEN length({cell}) = 10 AND substring({cell}, 5, 1) = '-' THEN try_cast({cell} AS DATE) END, "
+        f"try_cast(regexp_replace({cell}, {quoted(_YEAR_MONTH_DAY)}, '000$1-$2-$3') AS DATE)) "
         f"ELSE date_add(DATE '{SERIAL_ORIGIN}', "
         f"coalesce(try_cast({cell} AS INT), try_cast(floor({number(cell)}) AS INT))) END"
     )
@@ -56,8 +62,8 @@ def mixed_date(cell: str) -> str:
 def number_text(value: str) -> str:
     """A double as text, whole numbers without ``.0``."""
     return (
-        f"CASE WHEN {value} = floor({value}) AND abs({value}) < 1e15D "
-        f"THEN CAST(CAST({value} AS BIGINT) AS STRING) ELSE CAST({value} AS STRING) END"
+        f"CASE WHEN {value} = rint({value}) THEN coalesce(CAST(try_cast({value} AS DECIMAL(38, 0)) AS STRING), "
+        f"CAST({value} AS STRING)) ELSE CAST({value} AS STRING) END"
     )
 
 

@@ -54,6 +54,10 @@ def clean_cells(df: DataFrame, layout: Layout) -> DataFrame:
         if name not in types:
             raise ValueError(f"missing required column(s): {name}")
 
+    twice = sorted({c for c in df.columns if [n.lower() for n in df.columns].count(c.lower()) > 1})
+    if twice:
+        raise ValueError(f"columns that differ only by case: {', '.join(twice)}")
+
     def clean(name: str) -> str:
         cell = ref(name) if types[name] == "string" else f"CAST({ref(name)} AS STRING)"
         return clean_text(cell, layout.null_tokens)
@@ -88,6 +92,6 @@ def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool =
         ref(layout.raw_key),
         ref(layout.row),
         *[typed(c) for c in cells],
-        *[f"CAST(NULL AS STRING) AS {ref(c)}" for c in layout.optional if c not in cells],
+        *[f"CAST(NULL AS STRING) AS {ref(c)}" for c in layout.optional if c.lower() not in {n.lower() for n in cells}],
     )
     return out.where(f"{ref(layout.subject)} IS NOT NULL") if drop_keyless else out

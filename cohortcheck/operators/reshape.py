@@ -38,6 +38,10 @@ class SlotFamily:
     def name(self, index: int, field: str, event: str | None = None) -> str:
         return self.template.format(index=index, field=field, event=event)
 
+    def shown(self, slot: Slot, field: str) -> str:
+        """The column of a slot's field, or what it would be called if the table has none."""
+        return slot.column(field) or self.name(slot.index, field, slot.event)
+
     def slots(self, columns: list[str]) -> list[Slot]:
         """The slots of a table, by event in declared order and then by number."""
         pattern = re.escape(self.template)
@@ -47,16 +51,17 @@ class SlotFamily:
             ("event", f"(?P<event>{'|'.join(self.events)})"),
         ):
             pattern = pattern.replace(re.escape("{" + part + "}"), regex)
-        found: dict[tuple[int, int], dict[str, str]] = {}
+        # Spellings of one number (``1`` and ``01``) are slots of their own, so that neither hides the other.
+        found: dict[tuple[int, int, str], dict[str, str]] = {}
         for name in columns:
             match = re.fullmatch(pattern, name, re.IGNORECASE)
             if match:
                 parts = match.groupdict()
                 event = self.events.index(parts["event"].lower()) if self.events else 0
-                found.setdefault((event, int(parts["index"])), {})[parts["field"].lower()] = name
+                found.setdefault((event, int(parts["index"]), parts["index"]), {})[parts["field"].lower()] = name
         return [
-            Slot(index, found[event, index], self.events[event] if self.events else None)
-            for event, index in sorted(found)
+            Slot(key[1], found[key], self.events[key[0]] if self.events else None)
+            for key in sorted(found, key=lambda k: (k[0], k[1], len(k[2])))
         ]
 
 

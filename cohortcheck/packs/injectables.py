@@ -235,7 +235,7 @@ def _shots(names: Names) -> list:
             if slot.index == 1:
                 empty = " AND ".join(f"{ctx.value(slot, family, f)} IS NULL" for f in family.fields)
                 bad = f"{on_therapy(ctx)} AND {ctx.on_first(empty)}"
-                out.append(Finding(bad, quoted(family.name(1, "date")), ctx.text(slot.column("date"))))
+                out.append(Finding(bad, quoted(family.shown(slot, "date")), ctx.text(slot.column("date"))))
         return out
 
     def baseline_missing(ctx: AnyContext) -> list[Finding]:
@@ -276,7 +276,7 @@ def _require(ctx: Context, *wanted: str) -> None:
 
 def _cell(ctx: Context, name: str) -> tuple[str, str]:
     """Name and text of a cell, to show in a finding."""
-    return quoted(name), ctx.text(name)
+    return quoted(ctx.real(name) or name), ctx.text(name)
 
 
 @dataclass(frozen=True)
@@ -354,7 +354,7 @@ class _Course:
     def at(self, event: str, index: str, part: str) -> tuple[str, str]:
         """Name and text of a field of the slot with a computed number."""
         slots = [e.slot for e in self.of(event)]
-        names = [f"WHEN {s.index} THEN {quoted(self.family.name(s.index, part, event))}" for s in slots]
+        names = [f"WHEN {s.index} THEN {quoted(self.family.shown(s, part))}" for s in slots]
         texts = [f"WHEN {s.index} THEN {self.ctx.text(s.column(part))}" for s in slots]
         return f"CASE {index} {' '.join(names)} END", f"CASE {index} {' '.join(texts)} END"
 
@@ -458,7 +458,7 @@ def _events(names: Names) -> list[SubjectRule]:
             return [
                 Finding(
                     f"{ctx.on_first(f)} OR (NOT {any_future} AND {ctx.on_first(b)})",
-                    *_cell(ctx, names.events.name(e.slot.index, "date", event)),
+                    *_cell(ctx, names.events.shown(e.slot, "date")),
                 )
                 for e, f, b in zip(mine, future, early, strict=True)
             ]

@@ -50,14 +50,21 @@ class Context:
 
     def col(self, name: str | None, dtype: str = "string") -> str:
         """A cell, or a typed null when the table has no such column."""
-        if name not in self.types:
+        found = self.real(name)
+        if found is None:
             return f"CAST(NULL AS {dtype})"
-        self.used.add(name)
-        return ref(name)
+        self.used.add(found)
+        return ref(found)
+
+    def real(self, name: str | None) -> str | None:
+        """The table's own spelling of a name; names are compared without case."""
+        if name is None or name in self.types:
+            return name
+        return next((c for c in self.types if c.lower() == name.lower()), None)
 
     def text(self, name: str | None) -> str:
         """A cell as report text."""
-        return text_of(self.col(name), self.types.get(name, "string"))
+        return text_of(self.col(name), self.types.get(self.real(name), "string"))
 
     def value(self, slot: Slot, family: SlotFamily, name: str) -> str:
         """A field of a slot."""
@@ -106,7 +113,7 @@ class RowContext(Context):
         return Previous(
             str(slot.index),
             {f: self.value(slot, family, f) for f in family.fields},
-            {f: quoted(family.name(slot.index, f, slot.event)) for f in family.fields},
+            {f: quoted(family.shown(slot, f)) for f in family.fields},
             {f: self.text(slot.column(f)) for f in family.fields},
         )
 
@@ -161,7 +168,7 @@ class SubjectContext(Context):
             return either(last, self._neighbour(PREVIOUS, this.column(part), dtype, shown))
 
         def name(slot: Slot | None, part: str) -> str:
-            return quoted(slot and family.name(slot.index, part, slot.event))
+            return quoted(slot and family.shown(slot, part))
 
         return Previous(
             either(str(before.index) if before else "NULL", str(this.index)),

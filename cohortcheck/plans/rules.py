@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from cohortcheck.functions import Selector, one_of, quoted, ref
-from cohortcheck.functions.parsing import trimmed
+from cohortcheck.functions.parsing import BLANK_CLASS, trimmed
 from cohortcheck.operators.normalize import Layout
 from cohortcheck.operators.reshape import SlotFamily
 from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectContext
@@ -90,7 +90,7 @@ class CodeListRule(Rule):
     allowed: tuple[str, ...]
 
     def findings(self, ctx: AnyContext) -> list[Finding]:
-        code = rf"\s*(?:{'|'.join(self.allowed)})\s*"
+        code = rf"{BLANK_CLASS}*(?:{'|'.join(self.allowed)}){BLANK_CLASS}*"
         whole = quoted(f"^{code}(?:,{code})*$")
         return [
             Finding(f"NOT {ctx.text(name)} RLIKE {whole}", quoted(name), ctx.text(name))
@@ -128,7 +128,7 @@ class SlotRule(Rule):
                 if f.startswith("<"):
                     shown += [previous.names[f[1:]], previous.texts[f[1:]]]
                 else:
-                    name = self.family.name(slot.index, f, slot.event)
+                    name = self.family.shown(slot, f)
                     shown += [quoted(name), ctx.text(slot.column(f))]
             out.append(Finding(self.check(ctx, cells, previous), *shown))
         return out
