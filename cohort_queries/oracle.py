@@ -28,6 +28,7 @@ def _codes(*values: object) -> str:
 
 
 YES_NO = _codes(0, 1)
+NEVER_PRESCRIBED = "(coalesce(rx, '0') = '0' AND rx_date IS NULL)"
 DOMAINS = {
     "V03": (["vital_status_alive"], YES_NO),
     "V04": (["ethnicity_hispanic"], YES_NO),
@@ -89,18 +90,6 @@ def base(site: str = "''") -> str:
     """Common table expressions: n and t (typed rows, with and without key), vl, sh, ev, r."""
     by_slot = "OVER (PARTITION BY site, subject_id ORDER BY idx, copy)"
     carried = ", site, k"
-    flags = []
-    for name, event in (("fc", "counsel"), ("fs", "screen")):
-        flags.append(
-            f"CASE WHEN rx = '1' AND event = '{event}' AND date <= rx_date THEN 1 "
-            f"WHEN rx = '1' AND event = '{event}' AND date > rx_date THEN 0 "
-            f"WHEN (rx = '0' OR rx IS NULL) AND rx_date IS NULL THEN 1 END AS {name}"
-        )
-    for name, event, wanted in (("fi", "counsel", "3"), ("fe", "screen", "1")):
-        flags.append(
-            f"CASE WHEN rx = '1' AND event = '{event}' AND outcome = '{wanted}' THEN 1 "
-            f"WHEN rx = '1' AND event = '{event}' AND outcome <> '{wanted}' THEN 0 END AS {name}"
-        )
     events = "\n  UNION ALL\n  ".join(
         f"SELECT subject_id, copy, '{e}' AS event, {o} AS eo, CAST({i} AS INTEGER) AS idx, "
         f"{e}_{i}_date AS date, {e}_{i}_outcome AS outcome, counsel_ever, screen_ever, rx, rx_date, "
@@ -127,7 +116,7 @@ sh AS (SELECT *, date_diff('day', pdate, date) AS gap,
        WHEN pdose IN ('1', '3', '4', '5') THEN 'month' WHEN pdose IN ('2', '6') THEN 'two'
        WHEN pdose IS NULL THEN 'unknown' ELSE 'none' END AS plan FROM sh1),
 ev0 AS ({events}),
-ev AS (SELECT *, {", ".join(flags)} FROM ev0 WHERE anchor_date IS NULL OR date <= anchor_date OR date IS NULL),
+ev AS (SELECT * FROM ev0 WHERE anchor_date IS NULL OR date <= anchor_date OR date IS NULL),
 kept AS (SELECT DISTINCT site, subject_id FROM ev)
 """
 
@@ -226,48 +215,42 @@ def rule_sql(mode: str = "default") -> dict[str, str]:
             _row(first, f"'{e}_1_date'", f"r.{e}_1_date", f"'{e}_1_outcome'", f"r.{e}_1_outcome", alias="r")
             + f" FROM ({group}) g {on_r} WHERE full_ AND NOT one_"
         )
-    for rule, e, flag in (("V42", "counsel", "fc"), ("V43", "screen", "fs")):
-        test = f"bool_and({flag} = 0)" if mode == "default" else f"bool_and(coalesce({flag} = 0, false))"
-        group = (
-            f"SELECT site, subject_id, {test} AS bad, max(CASE WHEN {flag} = 0 THEN idx END) AS idx "
-            "FROM ev GROUP BY site, subject_id"
-        )
+    # Events dated after the prescription, unless an event of the subject excuses them.
+    for rule, e in (("V42", "counsel"), ("V43", "screen")):
+        after = f"event = '{e}' AND rx = '1' AND date > rx_date"
+        excuse = f"NOT coalesce({after}, false)"
+        if mode == "default":
+            excuse = f"CASE WHEN rx = '1' THEN event = '{e}' AND date <= rx_date ELSE {NEVER_PRESCRIBED} END"
         out[rule] = (
             _row(rule, "'rx_date'", "r.rx_date", f"'{e}_' || CAST(g.idx AS VARCHAR) || '_date'",
                  _pick(e, "date", "g.idx"), alias="r")
-            + f" FROM ({group}) g {on_r} WHERE bad"
+            + f" FROM (SELECT site, subject_id, max(idx) AS idx FROM ev WHERE {after} GROUP BY site, subject_id) g {on_r}"
+            + f" WHERE (g.site, g.subject_id) NOT IN (SELECT (site, subject_id) FROM ev WHERE {excuse})"
         )
     out["V44"] = _offender(
-        "V44", "rx_date",
-        "NOT coalesce((rx = '1' AND shot1_date IS NOT NULL AND shot1_date >= rx_date) "
-        "OR (rx = '1' AND shot1_date IS NULL) OR (rx = '1' AND rx_date IS NULL AND shot1_date IS NOT NULL) "
-        "OR ((rx = '0' OR rx IS NULL) AND rx_date IS NULL), false)",
+        "V44", "rx_date", f"CASE WHEN rx = '1' THEN shot1_date < rx_date ELSE NOT {NEVER_PRESCRIBED} END",
         "'rx_date'", "rx_date", "'shot1_date'", "shot1_date",
     )
-    for rule, e, flag in (("V45", "screen", "fe"), ("V46", "counsel", "fi")):
+    for rule, e, wanted in (("V45", "screen", "1"), ("V46", "counsel", "3")):
+        against = f"event = '{e}' AND rx = '1' AND outcome <> '{wanted}'"
         among = "" if mode == "strict" else (
             f" WHERE event = '{e}' AND date IS NOT NULL AND outcome IS NOT NULL"
         )
         last = (
-            f"SELECT site, subject_id, {flag} AS verdict FROM ev{among} QUALIFY row_number() OVER (PARTITION BY "
+            f"SELECT * FROM ev{among} QUALIFY row_number() OVER (PARTITION BY "
             "site, subject_id ORDER BY date DESC NULLS FIRST, copy DESC, eo DESC, idx DESC) = 1"
         )
-        group = (
-            f"SELECT site, subject_id, max(CASE WHEN {flag} = 0 THEN idx END) AS idx FROM ev "
-            "GROUP BY site, subject_id"
-        )
+        highest = f"SELECT site, subject_id, max(idx) AS idx FROM ev WHERE {against} GROUP BY site, subject_id"
         out[rule] = (
             _row(rule, "'rx'", "r.rx", f"'{e}_' || CAST(g.idx AS VARCHAR) || '_outcome'",
                  _pick(e, "outcome", "g.idx"), alias="r")
-            + f" FROM ({group}) g {on_r} JOIN ({last}) l ON l.site = g.site AND l.subject_id = g.subject_id "
-              "WHERE verdict = 0"
+            + f" FROM ({highest}) g {on_r} WHERE (g.site, g.subject_id) IN "
+              f"(SELECT (site, subject_id) FROM ({last}) WHERE {against})"
         )
     out["V47"] = _offender(
         "V47", "discontinued",
-        "NOT coalesce((discontinued = '1' AND discontinued_date IS NOT NULL AND rx_date IS NOT NULL "
-        "AND discontinued_date >= rx_date) OR (discontinued = '1' AND discontinued_date IS NULL) "
-        "OR (discontinued = '0' AND (rx_date IS NOT NULL OR shot1_date IS NOT NULL OR shot2_date IS NOT NULL)) "
-        "OR discontinued IS NULL, false)",
+        "CASE discontinued WHEN '1' THEN discontinued_date IS NOT NULL AND coalesce(discontinued_date < rx_date, true) "
+        "WHEN '0' THEN coalesce(rx_date, shot1_date, shot2_date) IS NULL ELSE discontinued IS NOT NULL END",
     )
     for rule, e in (("V48", "counsel"), ("V49", "screen")):
         dated = (
