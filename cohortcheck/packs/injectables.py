@@ -307,14 +307,14 @@ class _Course:
         )
         self.ctx, self.names, self.family = ctx, names, names.events
         rx, self.rx_date = ctx.col(names.rx), ctx.col(names.rx_date)
-        self.prescribed = holds(f"{rx} = '1'")
+        self.prescribed = ctx.fact(holds(f"{rx} = '1'"))
         self.not_prescribed = f"(({rx} IS NULL OR {rx} = '0') AND {self.rx_date} IS NULL)"
         start = ctx.col(names.shot_date(1))
         self.events = []
         for slot in self.family.slots(ctx.columns):
             day = ctx.value(slot, self.family, "date")
             counts = f"({start} IS NULL OR {day} IS NULL OR {day} <= {start})"
-            self.events.append(_Event(slot, day, ctx.value(slot, self.family, "outcome"), counts))
+            self.events.append(_Event(slot, day, ctx.value(slot, self.family, "outcome"), ctx.fact(counts)))
 
     def of(self, event: str) -> list[_Event]:
         return [e for e in self.events if e.slot.event == event]
@@ -322,7 +322,7 @@ class _Course:
     @property
     def any_counts(self) -> str:
         """Does the row keep any event? Subjects without one are not checked."""
-        return any_true(e.counts for e in self.events)
+        return self.ctx.fact(any_true(e.counts for e in self.events))
 
     def after_rx(self, event: str) -> list[tuple[_Event, str]]:
         """Events that count, of the given kind, and whether they are dated after the prescription."""

@@ -9,19 +9,21 @@ before, have supplied.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortcheck.functions import holds, quoted, ref, text_of
-from cohortcheck.operators.keys import FIRST_ROW, N_ROWS
+from cohortcheck.operators.keys import FIRST_ROW, LAST_ROW, N_ROWS
 from cohortcheck.operators.neighbours import PREVIOUS
 from cohortcheck.operators.normalize import Layout
 from cohortcheck.operators.reshape import Slot, SlotFamily
 from cohortcheck.plans.settings import Settings
 
 LAST = "_last"
+_FACT = "_fact"
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,7 @@ class Context:
     layout: Layout
     settings: Settings
     used: set[str] = field(default_factory=set)
+    computed: dict[str, int] = field(default_factory=dict)
 
     @property
     def columns(self) -> list[str]:
@@ -70,6 +73,24 @@ class Context:
         """A field of a slot."""
         return self.col(slot.column(name), family.fields[name])
 
+    def fact(self, value: str) -> str:
+        """A value of the row that many findings ask for: computed once per row, as a column.
+
+        A fact may build on other facts. The text of a finding then does not grow with what its facts are made of.
+        """
+        if value not in self.computed:
+            levels = list(self.computed.values())
+            below = [levels[int(n)] for n in re.findall(rf"{_FACT}(\d+)\b", value)]
+            self.computed[value] = max(below, default=-1) + 1
+        return f"{_FACT}{list(self.computed).index(value)}"
+
+    def with_facts(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the facts as further columns, one projection per level."""
+        named = [(level, f"{value} AS {_FACT}{i}") for i, (value, level) in enumerate(self.computed.items())]
+        for level in range(max(self.computed.values(), default=-1) + 1):
+            rows = rows.selectExpr("*", *[text for at, text in named if at == level])
+        return rows
+
     def future(self, day: str) -> str:
         return holds(f"{day} > DATE '{self.settings.as_of.isoformat()}'")
 
@@ -83,15 +104,15 @@ class RowContext(Context):
 
     def any(self, cond: str) -> str:
         """Does ``cond`` hold on some row of the subject?"""
-        return holds(cond)
+        return self.fact(holds(cond))
 
     def max(self, value: str) -> str:
         """The largest ``value`` over the rows of the subject."""
-        return value
+        return self.fact(value)
 
     def last(self, candidates: str) -> str:
         """Field ``outcome`` of the largest struct of an array, over all rows of the subject."""
-        return f"array_max({candidates}).outcome"
+        return self.fact(f"array_max({candidates}).outcome")
 
     def on_first(self, cond: str) -> str:
         """True on the first row of the subject for which ``cond`` holds."""
@@ -189,11 +210,17 @@ class SubjectContext(Context):
         cell = f"{source}.{ref(name)}"
         return text_of(cell, self.types[name]) if shown else cell
 
-    def facts(self, rows: DataFrame) -> DataFrame:
-        """One record per subject: its row count, the aggregates, and its last row if needed."""
-        wanted = [f"count(1) AS {N_ROWS}"]
-        wanted += [f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]
+    def about_subjects(self, rows: DataFrame) -> DataFrame:
+        """One record per subject: its row count, the aggregates, and its last row if needed.
+
+        ``rows`` carry the last row id of their subject, so the last row is one that a filter finds; rows are not sorted
+        for it.
+        """
+        keys, row = self.layout.keys, ref(self.layout.row)
+        wanted = [f"count(1) AS {N_ROWS}", *[f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]]
+        out = self.with_facts(rows).groupBy(*keys).agg(*[F.expr(w) for w in wanted])
         if self.carried:
             carried = ", ".join(ref(c) for c in self.carried)
-            wanted.append(f"max_by(struct({carried}), {ref(self.layout.row)}) AS {LAST}")
-        return rows.groupBy(*self.layout.keys).agg(*[F.expr(w) for w in wanted])
+            last = rows.where(f"{row} = {LAST_ROW}").selectExpr(*map(ref, keys), f"struct({carried}) AS {LAST}")
+            out = out.join(last, keys)
+        return out

@@ -76,13 +76,13 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
     row_findings = list(_findings(pack.rules, single))
     group_findings = list(_findings(pack.rules, group))
     if not group.grouped:
-        return _emit(typed, row_findings, pack.rules, layout)
+        return _emit(single.with_facts(typed), row_findings, pack.rules, layout)
 
     use_checkpoints(typed.sparkSession)
     repeated = repeated_keys(typed, keys, row).checkpoint()
     stats = KeyStats.of(repeated)
     if stats.keys == 0:
-        return _emit(typed, row_findings, pack.rules, layout)
+        return _emit(single.with_facts(typed), row_findings, pack.rules, layout)
 
     limits = settings.limits
     sizes = (stats, limits.max_broadcast_keys, limits.hot_key_rows)
@@ -92,14 +92,14 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
     if group.aggregates or group.carried:
         # Read twice from here on; finding these rows again would read the whole table again.
         shared = shared.checkpoint()
-        facts = group.facts(shared)
+        facts = group.about_subjects(shared)
         if stats.keys > limits.max_broadcast_keys:
             facts = facts.checkpoint()
         if group.carried:
             shared = with_neighbour_rows(shared, keys, row, group.carried, stats.largest, limits.chunk_rows)
         shared = attach(shared.drop(N_ROWS), facts, keys, row, *sizes)
-    return _emit(alone, row_findings, pack.rules, layout).unionByName(
-        _emit(shared, group_findings, pack.rules, layout, keyless=False)
+    return _emit(single.with_facts(alone), row_findings, pack.rules, layout).unionByName(
+        _emit(group.with_facts(shared), group_findings, pack.rules, layout, keyless=False)
     )
 
 
