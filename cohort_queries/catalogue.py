@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohort_queries.cohort import cohort
 from cohortcheck import Layout, Settings, normalize, tune, validate, violations
@@ -14,7 +16,7 @@ from cohortcheck.operators import clean_cells, explode_codes, missing_profile, t
 from cohortcheck.packs import SHORT_NAMES, injectables
 from cohortcheck.plans import for_export, report_filter, report_page, summarize
 from cohortcheck.plans.validation import use_checkpoints
-from cohortcheck.sources import choose_site, list_sites, read_cells, stage
+from cohortcheck.sources import choose_site, list_sites, read_cells, stage, write_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +143,34 @@ def one_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(typed, PACK.only("V30"), SETTINGS, LAYOUT)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps its shared data."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort written as CSV, scanned as text and cleaned."""
+    path = _folder(spark, "csv")
+    table(spark, sf_dir).write.option("header", "true").csv(path)
+    cells = read_cells(spark, path, "csv").withColumn(LAYOUT.row, F.col(LAYOUT.row).cast("bigint"))
+    return clean_cells(cells, LAYOUT)
+
+
+def _written(name: str, fmt: str) -> Query:
+    """One of the two result tables of all sites, written by site and day and read back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark, "written")
+        result = validate(table_by_site(spark, sf_dir), PACK, SETTINGS, BY_SITE)
+        write_result(result, path, SETTINGS.as_of, fmt=fmt, tables=(name,))
+        kinds = dict(getattr(result, name).dtypes)
+        back = read_cells(spark, f"{path}/{name}", fmt)
+        return back.select(*[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in back.columns])
+
+    return query
+
+
 def page(report: DataFrame) -> DataFrame:
     order = ["rule_id", "subject_id", "column1", "value1", "column2", "value2"]
     return report_page(report, order, number=3, size=25)
@@ -192,5 +222,8 @@ def queries() -> dict[str, Query]:
         "sites_in_one_pass": sites_in_one_pass,
         "site_missing_profile": site_profile,
         "one_site": one_site,
+        "csv_cells": csv_cells,
+        "written_report": _written("report", "parquet"),
+        "written_missing": _written("missing", "csv"),
         "list_sites": lambda spark, sf_dir: list_sites(table_by_site(spark, sf_dir)),
     }

@@ -315,6 +315,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS total_count FROM t"
         for c in PROFILED
     )
+    site_profile = base(SITE) + " UNION ALL ".join(
+        f"SELECT site, '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS total_count "
+        "FROM t GROUP BY site" for c in PROFILED
+    )
     order = "rule_id, subject_id, column1, value1, column2, value2"
     return {
         "null_tokens": base() + f"SELECT subject_id_text, copy, {', '.join(COLUMNS)} FROM cl",
@@ -366,11 +370,11 @@ def oracle_sql() -> dict[str, str]:
         + " LIMIT 25 OFFSET 50",
         "sites_in_one_pass": report_cte(SITE)
         + "SELECT site, rule_id, count(*) AS error_count FROM rep GROUP BY site, rule_id",
-        "site_missing_profile": base(SITE)
-        + " UNION ALL ".join(
-            f"SELECT site, '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS total_count "
-            "FROM t GROUP BY site" for c in PROFILED
-        ),
+        "site_missing_profile": site_profile,
         "one_site": base(SITE) + f"SELECT {SHOWN} FROM ({rule_sql()['V30']}) WHERE site = 'site-1'",
         "list_sites": base(SITE) + "SELECT DISTINCT site FROM n",
+        "csv_cells": base() + f"SELECT subject_id_text, copy, {', '.join(COLUMNS)} FROM cl",
+        "written_report": report_cte(SITE)
+        + f"SELECT site, {REPORT.replace('short_message, ', '')}, '{AS_OF}' AS run_date FROM rep",
+        "written_missing": f"SELECT *, '{AS_OF}' AS run_date FROM ({site_profile})",
     }

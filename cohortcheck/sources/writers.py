@@ -12,15 +12,21 @@ from cohortcheck.plans.validation import Result
 
 
 def write_result(
-    result: Result, path: str, run_date: date, site: str | None = None, fmt: str = "parquet"
+    result: Result,
+    path: str,
+    run_date: date,
+    site: str | None = None,
+    fmt: str = "parquet",
+    tables: tuple[str, ...] = ("report", "missing"),
 ) -> None:
-    """Write ``report`` and ``missing`` below ``path``, in folders by site and run date.
+    """Write ``report`` and ``missing`` (or one of them) below ``path``, in folders by site and run date.
 
     ``site`` names the one site of a table without a site column. Only the folders of the sites
     and the day at hand are replaced. Rows are rebalanced by site: adaptive execution then splits
     a large site over several tasks and files, and merges small ones.
     """
-    for name, table in (("report", for_export(result.report)), ("missing", result.missing)):
+    for name in tables:
+        table = for_export(result.report) if name == "report" else result.missing
         if site is not None:
             table = table.withColumn("site", F.lit(site))
         by = [c for c in ("site",) if c in table.columns] + ["run_date"]

@@ -7,7 +7,8 @@ import pytest
 from tests.brute import by_subject, slot_rules, subject_rules
 from tests.helpers import AS_OF, LAYOUT, PACK, SETTINGS, table
 
-from cohortcheck import Limits, Settings, normalize, violations
+from cohortcheck import Limits, Settings, normalize, validate, violations
+from cohortcheck.plans.contexts import RowContext
 
 SLOT_RULES = ("V27", "V28", "V29", "V30", "V31", "V34", "V35", "V36", "V37")
 SUBJECT_RULES = tuple(r.rule_id for r in PACK.rules if r.rule_id >= "V38")
@@ -114,3 +115,20 @@ def test_identical_copies_of_one_row(spark):
     assert sum(r.rule_id == "V01" for r in got) == 50
     # Two dated slots on 50 rows: every slot but the first row's has an equal day just before it.
     assert sum(r.rule_id == "V30" for r in got) == 98
+
+
+@pytest.mark.parametrize("ids", [(0, None), (5, 5)])
+def test_rows_of_a_subject_need_ids(spark, ids):
+    df = table(spark, *[{"subject_id": "1", "row_id": i} for i in ids])
+    with pytest.raises(Exception, match="need ids that differ"):
+        validate(df, PACK, SETTINGS, LAYOUT).report.collect()
+
+
+def test_facts_keep_findings_short(spark):
+    def longest(slots: int) -> int:
+        names = [f"{e}_{i}_{part}" for e in ("counsel", "screen") for i in range(1, slots + 1) for part in ("date", "outcome")]
+        df = normalize(table(spark, dict.fromkeys(names)), LAYOUT, drop_keyless=False)
+        ctx = RowContext(dict(df.dtypes), LAYOUT, SETTINGS)
+        return max(len(f.when) for rule in PACK.only("V48", "V49").rules for f in rule.findings(ctx))
+
+    assert longest(40) < 1.2 * longest(4)
