@@ -19,6 +19,9 @@ LEAF_CHARS = 512
 # A single blank between two other characters starts a pre-token, whatever stands around it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+# Optional input columns, and what their types must name.
+STATE = {"edits": ("array<struct<", "start:", "stop:", "text:"), "leaves": ("array<struct<", "chars:", "tokens:")}
+
 Edit = tuple[int, int, str]
 
 
@@ -175,16 +178,18 @@ def count_edits(
     order to the text as it is then. A column ``leaves array<struct<chars,tokens>>`` from an earlier run saves counting
     the unchanged text again. Returns ``doc_id, n_tokens, n_tokens_edited, n_edits, n_leaves, n_encoded``
     (leaves encoded for the edits) and, ``with_state``, the edited ``text`` and its ``leaves``. A null text counts
-    as empty, null edits as none; null ids, repeated rows and further columns are allowed. No shuffle: a
+    as empty, null edits as none; columns called ``edits`` or ``leaves`` of another type are ignored; null ids, repeated rows and further columns are allowed. No shuffle: a
     document's tree lives in its own row.
     """
     spark = docs.sparkSession
     importable(spark)
     with open(path, "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    names = [c for c in ("doc_id", "text", "edits", "leaves") if c in docs.columns and not (c == "edits" and editor)]
+    types = dict(docs.dtypes)
+    names = ["doc_id", "text"]
+    names += [c for c, fields in STATE.items() if all(f in types.get(c, "") for f in fields) and not (c == "edits" and editor)]
     state = ", text string, leaves array<struct<chars:int,tokens:int>>" if with_state else ""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind = types["doc_id"]
     columns = ["n_tokens", "n_tokens_edited", "n_edits", "n_leaves", "n_encoded"]
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in columns) + state
 
