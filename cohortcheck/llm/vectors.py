@@ -25,6 +25,8 @@ BUCKET = 256
 WIDEST = 0.05
 # Rows of either side that one task compares at once; larger buckets are compared block by block.
 BLOCK = 2048
+# Filters that are looked up at once when a task tells which pairs met before.
+WIDTH = 1024
 SEED = 20240607
 
 
@@ -138,6 +140,27 @@ def _filtered(classes: DataFrame, kind: str, caps: dict[int, Caps]) -> DataFrame
     return made.select("*", F.explode("filters").alias("f"))
 
 
+def _meet(filters: list[list[int]], before: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` share a filter with a number below ``before``.
+
+    Filters are taken ``WIDTH`` at a time, so that memory is bounded however many there are.
+    """
+    row = np.repeat(np.arange(len(filters)), [len(ids) for ids in filters])
+    name = np.array([x for ids in filters for x in ids], np.int64)
+    row, name = row[name < before], name[name < before]
+    # Only a filter that several rows exceed can be shared.
+    _, place, count = np.unique(name, return_inverse=True, return_counts=True)
+    row, place = row[count[place] > 1], place[count[place] > 1]
+    place = np.unique(place, return_inverse=True)[1]
+    shared = np.zeros((len(a), len(b)), bool)
+    for start in range(0, int(place.max(initial=-1)) + 1, WIDTH):
+        now = (place >= start) & (place < start + WIDTH)
+        member = np.zeros((len(filters), WIDTH), np.float32)
+        member[row[now], place[now] - start] = 1
+        shared |= member[a] @ member[b].T > 0
+    return shared
+
+
 def _compare(table: pa.Table, kind: str, limit: float) -> pa.Table:
     """Links inside one bucket, or between two of its blocks.
 
@@ -159,12 +182,7 @@ def _compare(table: pa.Table, kind: str, limit: float) -> pa.Table:
         if low == high:
             np.fill_diagonal(near, False)
         if near.any():
-            smaller = [[x for x in ids if x < here] for ids in table.column("filters").to_pylist()]
-            names = {x: i for i, x in enumerate(sorted({x for ids in smaller for x in ids}))}
-            member = np.zeros((len(rep), max(1, len(names))), np.float32)
-            for i, ids in enumerate(smaller):
-                member[i, [names[x] for x in ids]] = 1
-            counted = near & (member[a] @ member[b].T == 0)
+            counted = near & ~_meet(table.column("filters").to_pylist(), here, a, b)
             np.add.at(links, a, counted @ n[b])
             if low != high:
                 np.add.at(links, b, n[a] @ counted)

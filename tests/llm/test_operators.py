@@ -336,3 +336,21 @@ def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF_DIR).count() <= len(ODD), name
         assert stage(spark, none, SF_DIR).count() == 0, name
+
+
+def test_filters_met_before_are_found_in_any_width(monkeypatch):
+    draw = np.random.default_rng(3)
+    filters = [sorted(set(draw.integers(0, 300, 12).tolist())) for _ in range(80)]
+    a, b = np.arange(50), np.arange(30, 80)
+    want = np.array([[any(x < 200 for x in set(filters[i]) & set(filters[j])) for j in b] for i in a])
+    for width in (7, 64, 1024):
+        monkeypatch.setattr(vectors, "WIDTH", width)
+        assert (vectors._meet(filters, 200, a, b) == want).all()
+    assert not vectors._meet([[5], []], 3, np.array([0]), np.array([1])).any()
+
+
+def test_columns_that_only_share_a_name_with_the_state_are_ignored(spark, odd):
+    path = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
+    clashing = odd.withColumn("leaves", F.lit("x")).withColumn("edits", F.lit(1))
+    want = Counter(map(tuple, tokens.count_edits(odd, path).collect()))
+    assert Counter(map(tuple, tokens.count_edits(clashing, path).collect())) == want
