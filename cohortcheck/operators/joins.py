@@ -6,36 +6,54 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from cohortcheck.functions import ref
 from cohortcheck.operators.keys import N_ROWS
 
-# Most records that are ever sent to every executor.
+# Most records, and most bytes of them, that are ever sent to every executor.
 MAX_BROADCAST_KEYS = 50_000
+MAX_BROADCAST_BYTES = 32 << 20
 # A key with at least this many rows is joined without moving its rows by key.
 HOT_KEY_ROWS = 1_000_000
+# Bits of a key filter: per key, and in all (32 MB). One bitmap of the SQL functions holds 32,768.
+BITS_PER_KEY, MAX_FILTER_BITS, _BITMAP = 16, 1 << 28, 1 << 15
+# Bytes that a value takes in memory besides its text.
+_CELL_BYTES = 16
 
 _SALT, _HOT, _COLD = "_salt", "_hot", "_cold"
 _SPREAD = 1 << 20
 
 
+def _leaves(kind: DataType) -> int:
+    return sum(_leaves(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else 1
+
+
 @dataclass(frozen=True)
 class KeyStats:
-    """Number of keys in a per-key table, and the rows that they own in all and at most."""
+    """Number of keys in a per-key table, the rows that they own in all and at most, and the bytes of the widest record."""
 
     keys: int
     rows: int
     largest: int
+    widest: int
 
     @classmethod
     def of(cls, per_key: DataFrame) -> KeyStats:
+        """Measured in one pass over ``per_key``, which should be materialised."""
+        texts = " + ".join(f"coalesce(octet_length(CAST({ref(c)} AS STRING)), 0)" for c in per_key.columns)
         got = per_key.agg(
             F.expr("count(1)"),
             F.expr(f"coalesce(sum({N_ROWS}), 0)"),
             F.expr(f"coalesce(max({N_ROWS}), 0)"),
+            F.expr(f"coalesce(max({texts}), 0) + {_CELL_BYTES * _leaves(per_key.schema)}"),
         ).first()
         return cls(*got)
 
+    def sendable(self, max_keys: int, max_bytes: int) -> int:
+        """How many of the records may be broadcast: at their widest they stay below both bounds."""
+        return max(1, min(max_keys, max_bytes // self.widest))
+
 
 def attach(
     rows: DataFrame,
@@ -45,22 +63,25 @@ def attach(
     stats: KeyStats,
     max_broadcast_keys: int = MAX_BROADCAST_KEYS,
     hot_key_rows: int = HOT_KEY_ROWS,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     how: str = "inner",
 ) -> DataFrame:
     """Join ``per_key`` (one record per key, with its row count) to ``rows``; inner or left anti.
 
-    Up to ``max_broadcast_keys`` records are broadcast, and ``rows`` stay where they are. Beyond
-    that, only the records of hot keys are broadcast: a key is hot from ``rows / max_broadcast_keys``
-    rows on, so there cannot be more than ``max_broadcast_keys`` of them. The others are joined by a
-    shuffle, in which the rows of hot keys, already served, are spread by a salt that matches nothing.
+    While all records may be broadcast, ``rows`` stay where they are. Beyond that, only the records of hot keys are
+    broadcast: a key is hot from ``rows / limit`` rows on, so there cannot be more of them than the limit. The others
+    are joined by a shuffle, in which the rows of hot keys, already served, are spread by a salt that matches nothing.
     """
-    if stats.keys <= max_broadcast_keys:
+    limit = stats.sendable(max_broadcast_keys, max_broadcast_bytes)
+    if stats.keys <= limit:
         return rows.join(F.broadcast(per_key), keys, "left_anti" if how == "anti" else how)
-    threshold = max(hot_key_rows, -(-stats.rows // max_broadcast_keys))
+    threshold = max(hot_key_rows, -(-stats.rows // limit))
     record = f"struct({', '.join(ref(c) for c in per_key.columns if c not in keys)})"
     hot = per_key.where(f"{N_ROWS} >= {threshold}").selectExpr(*map(ref, keys), f"{record} AS {_HOT}")
+    # Always zero, but no constant: a constant would be taken out of the join's keys, and the salt with it.
+    zero = f"pmod(xxhash64({', '.join(map(ref, keys))}), 1L)"
     cold = per_key.where(f"{N_ROWS} < {threshold}").selectExpr(
-        *map(ref, keys), f"0L AS {_SALT}", f"{record} AS {_COLD}"
+        *map(ref, keys), f"{zero} AS {_SALT}", f"{record} AS {_COLD}"
     )
     spread = (
         f"CASE WHEN {_HOT} IS NOT NULL OR {ref(keys[-1])} IS NULL "
@@ -75,3 +96,22 @@ def attach(
     if how == "anti":
         return joined.where(f"{_HOT} IS NULL").drop(_HOT)
     return joined.where(f"{_HOT} IS NOT NULL").selectExpr(*map(ref, rows.columns), f"{_HOT}.*")
+
+
+def candidates(rows: DataFrame, per_key: DataFrame, keys: list[str], stats: KeyStats) -> DataFrame:
+    """The ``rows`` whose key may be in ``per_key``: all that are, and a few others; no row is moved.
+
+    Key hashes mark bits, and rows look theirs up in broadcast bitmaps of at most 32 MB together. About one other row in
+    ``BITS_PER_KEY`` passes, and more of them once there are more than 16 million keys.
+    """
+    bits = max(_BITMAP, min(MAX_FILTER_BITS, BITS_PER_KEY * stats.keys))
+    place = f"pmod(xxhash64({', '.join(map(ref, keys))}), {bits}L)"
+    marks = (
+        per_key.selectExpr(f"{place} AS _place")
+        .groupBy(F.expr(f"_place div {_BITMAP}").alias("_map"))
+        .agg(F.expr(f"bitmap_construct_agg(_place % {_BITMAP}) AS _bits"))
+    )
+    byte = f"CAST(conv(hex(substring(_bits, CAST((_place % {_BITMAP}) div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    marked = F.expr(f"_place div {_BITMAP} = _map AND bit_get({byte}, CAST(_place % 8 AS INT)) = 1")
+    known = rows.where(f"{ref(keys[-1])} IS NOT NULL").selectExpr("*", f"{place} AS _place")
+    return known.join(F.broadcast(marks), marked, "left_semi").drop("_place")

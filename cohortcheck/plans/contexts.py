@@ -23,6 +23,7 @@ from cohortcheck.operators.reshape import Slot, SlotFamily
 from cohortcheck.plans.settings import Settings
 
 LAST = "_last"
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 _FACT = "_fact"
 
 
@@ -160,7 +161,18 @@ class SubjectContext(Context):
         return self._aggregate(f"max({value})")
 
     def last(self, candidates: str) -> str:
-        return self._aggregate(f"max(array_max({candidates}))") + ".outcome"
+        if self.types[self.layout.row] not in _WHOLE:
+            return self._aggregate(f"max(array_max({candidates}))") + ".outcome"
+        # Fields in their order as digits of one number, which a hash aggregate can keep; a struct would be sorted.
+        top = self.fact(f"array_max({candidates})")
+        verdict = f"CASE {top}.outcome WHEN true THEN 2 WHEN false THEN 1 ELSE 0 END"
+        day = f"coalesce(datediff({top}.day, DATE '1970-01-01') + 2147483648L, 0L)"
+        fields = [(day, 10), (f"CAST({top}.row AS DECIMAL(20,0)) + 9223372036854775808", 20), (f"{top}.place", 5), (verdict, 1)]
+        number = f"CAST({top}.undated AS INT)"
+        for value, digits in fields:
+            number = f"(CAST({number} AS DECIMAL(38,0)) * {10**digits} + CAST({value} AS DECIMAL(38,0)))"
+        digit = f"{self._aggregate(f'max(CASE WHEN {top} IS NOT NULL THEN CAST({number} AS DECIMAL(38,0)) END)')} % 10"
+        return f"(CASE {digit} WHEN 2 THEN true WHEN 1 THEN false END)"
 
     def on_first(self, cond: str) -> str:
         row = ref(self.layout.row)
@@ -217,7 +229,10 @@ class SubjectContext(Context):
         for it.
         """
         keys, row = self.layout.keys, ref(self.layout.row)
-        wanted = [f"count(1) AS {N_ROWS}", *[f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]]
+        first = f"count_if({row} = {FIRST_ROW})"
+        message = f"raise_error('{self.layout.row}: rows of a subject need ids that differ')"
+        counted = f"CASE WHEN {first} > 1 THEN {message} ELSE count(1) END"
+        wanted = [f"{counted} AS {N_ROWS}", *[f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]]
         out = self.with_facts(rows).groupBy(*keys).agg(*[F.expr(w) for w in wanted])
         if self.carried:
             carried = ", ".join(ref(c) for c in self.carried)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from cohortcheck.operators.joins import HOT_KEY_ROWS, MAX_BROADCAST_KEYS
+from cohortcheck.operators.joins import HOT_KEY_ROWS, MAX_BROADCAST_BYTES, MAX_BROADCAST_KEYS
 from cohortcheck.operators.neighbours import CHUNK_ROWS
 
 
@@ -14,6 +14,7 @@ class Limits:
     """Sizes at which the plan changes; see the operators that use them."""
 
     max_broadcast_keys: int = MAX_BROADCAST_KEYS
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES
     hot_key_rows: int = HOT_KEY_ROWS
     chunk_rows: int = CHUNK_ROWS
 

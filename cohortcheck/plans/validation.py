@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortcheck.functions import Selector, any_true, array, one_of, quoted, ref
-from cohortcheck.operators.joins import KeyStats, attach
+from cohortcheck.operators.joins import KeyStats, attach, candidates
 from cohortcheck.operators.keys import N_ROWS, repeated_keys
 from cohortcheck.operators.neighbours import with_neighbour_rows
 from cohortcheck.operators.normalize import Layout, normalize
@@ -65,9 +65,10 @@ def validate(df: DataFrame, pack: Pack, settings: Settings, layout: Layout | Non
 def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout) -> DataFrame:
     """Keys, row id, rule id and shown cells of every violation in a normalised table.
 
-    Subjects with one row, and rows without a key, are checked in one pass with no shuffle. The
+    Subjects with one row, and rows without a key, are checked in one pass that moves no row. The
     keys on several rows are found first, from the key and row id columns alone; their rows take a
-    second branch, which is left out when there are none or when no rule looks past a row.
+    second branch, which is left out when there are none or when no rule looks past a row. If the
+    keys are too many to be sent around, only findings and the rows that a key filter lets through are shuffled.
     """
     keys, row = layout.keys, layout.row
     types = dict(typed.dtypes)
@@ -85,22 +86,29 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
         return _emit(single.with_facts(typed), row_findings, pack.rules, layout)
 
     limits = settings.limits
-    sizes = (stats, limits.max_broadcast_keys, limits.hot_key_rows)
-    alone = attach(typed, repeated, keys, row, *sizes, how="anti")
+    sizes = (limits.max_broadcast_keys, limits.hot_key_rows, limits.max_broadcast_bytes)
+    few = stats.keys <= stats.sendable(limits.max_broadcast_keys, limits.max_broadcast_bytes)
+    if few:
+        alone = attach(typed, repeated, keys, row, stats, *sizes, how="anti")
+        found = _emit(single.with_facts(alone), row_findings, pack.rules, layout)
+    else:
+        # Rows stay where they are: what they show is moved instead, and dropped where the key repeats.
+        found = _emit(single.with_facts(typed), row_findings, pack.rules, layout)
+        found = attach(found, repeated, keys, row, stats, *sizes, how="anti")
     needed = [*keys, row, *sorted(group.used - layout.reserved)]
-    shared = attach(typed.select(*needed), repeated, keys, row, *sizes)
+    some = typed.select(*needed)
+    shared = attach(some if few else candidates(some, repeated, keys, stats), repeated, keys, row, stats, *sizes)
     if group.aggregates or group.carried:
         # Read twice from here on; finding these rows again would read the whole table again.
         shared = shared.checkpoint()
-        facts = group.about_subjects(shared)
-        if stats.keys > limits.max_broadcast_keys:
-            facts = facts.checkpoint()
+        # Checkpointed, since its records are measured before they are sent around.
+        facts = group.about_subjects(shared).checkpoint()
         if group.carried:
-            shared = with_neighbour_rows(shared, keys, row, group.carried, stats.largest, limits.chunk_rows)
-        shared = attach(shared.drop(N_ROWS), facts, keys, row, *sizes)
-    return _emit(single.with_facts(alone), row_findings, pack.rules, layout).unionByName(
-        _emit(group.with_facts(shared), group_findings, pack.rules, layout, keyless=False)
-    )
+            shared = with_neighbour_rows(
+                shared, keys, row, group.carried, stats.rows, stats.largest, limits.chunk_rows
+            )
+        shared = attach(shared.drop(N_ROWS), facts, keys, row, KeyStats.of(facts), *sizes)
+    return found.unionByName(_emit(group.with_facts(shared), group_findings, pack.rules, layout, keyless=False))
 
 
 def _findings(rules: Iterable[Rule], ctx: RowContext | SubjectContext) -> Iterable[tuple[str, Finding]]:
@@ -169,7 +177,7 @@ def use_checkpoints(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cohortcheck-")
     context.setCheckpointDir(folder)

@@ -1,14 +1,19 @@
 """Subjects on several rows, up to one that holds a third of the table, against plain Python."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from tests.brute import by_subject, slot_rules, subject_rules
 from tests.helpers import AS_OF, LAYOUT, PACK, SETTINGS, table
 
 from cohortcheck import Limits, Settings, normalize, validate, violations
-from cohortcheck.plans.contexts import RowContext
+from cohortcheck.operators.joins import KeyStats, attach, candidates
+from cohortcheck.operators.neighbours import in_ranges
+from cohortcheck.plans.contexts import RowContext, SubjectContext
+from cohortcheck.plans.validation import use_checkpoints
 
 SLOT_RULES = ("V27", "V28", "V29", "V30", "V31", "V34", "V35", "V36", "V37")
 SUBJECT_RULES = tuple(r.rule_id for r in PACK.rules if r.rule_id >= "V38")
@@ -50,6 +55,7 @@ LIMITS = {
     "all in one": Limits(),
     "small ranges": Limits(chunk_rows=7),
     "shuffled keys": Limits(max_broadcast_keys=1, hot_key_rows=20),
+    "few bytes": Limits(max_broadcast_bytes=1, hot_key_rows=20),
     "everything small": Limits(max_broadcast_keys=3, hot_key_rows=5, chunk_rows=3),
 }
 
@@ -132,3 +138,102 @@ def test_facts_keep_findings_short(spark):
         return max(len(f.when) for rule in PACK.only("V48", "V49").rules for f in rule.findings(ctx))
 
     assert longest(40) < 1.2 * longest(4)
+
+
+@pytest.mark.parametrize("at", [0, 3, 7])
+def test_a_partly_repeated_id_is_refused(spark, at):
+    ids = [*range(8), at]
+    df = table(spark, *[{"subject_id": "1", "row_id": i} for i in ids])
+    with pytest.raises(Exception, match="need ids that differ"):
+        validate(df, PACK, SETTINGS, LAYOUT).report.collect()
+
+
+def test_ranges_are_even_however_ids_cluster(spark):
+    # Two neighbouring files, as Spark numbers them: ids fill the ends of a span of 2^33.
+    ids = [*range(6000), *range(1 << 33, (1 << 33) + 2000)]
+    rows = spark.createDataFrame([(k, i) for k in ("1", "2") for i in ids] + [("3", 5)], "subject_id string, row_id long")
+    rows = rows.withColumn("_n_rows", F.when(F.col("subject_id") == "3", 1).otherwise(len(ids)))
+    use_checkpoints(spark)
+    cut = in_ranges(rows, ["subject_id"], "row_id", 2 * len(ids), 1000).where("subject_id <> '3'")
+    got = cut.groupBy("subject_id", "_chunk").agg(F.expr("count(1) AS n"), F.expr("min(row_id) AS a"), F.expr("max(row_id) AS b"))
+    got = sorted(got.collect(), key=lambda r: (r.subject_id, r._chunk))
+    assert sum(r.n for r in got) == 2 * len(ids)
+    assert max(r.n for r in got) < 2000
+    assert all(x.b < y.a for x, y in zip(got, got[1:]) if x.subject_id == y.subject_id)
+
+
+def test_key_filter_loses_no_key(spark):
+    rows = spark.range(200_000).selectExpr("CAST(id AS STRING) AS k", "id AS row", "'wide' AS cell").union(
+        spark.createDataFrame([(None, -1, "no key")], "k string, row long, cell string")
+    )
+    per_key = spark.range(0, 200_000, 40).selectExpr("CAST(id AS STRING) AS k", "2L AS _n_rows")
+    stats = KeyStats.of(per_key)
+    passed = candidates(rows, per_key, ["k"], stats)
+    assert passed.columns == rows.columns
+    assert passed.join(per_key, "k").count() == stats.keys == 5000
+    assert passed.count() < 5000 + 200_000 / 8
+    assert "BroadcastHashJoin" in plan(passed)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def above(text, node):
+    """The nodes above the first line that names ``node``, nearest first."""
+    # Literals with line breaks spill over several lines; nodes start with a branch of the tree.
+    lines = [line for line in text.split("\n") if re.match(r"[ :]*[:+]- ", line)]
+    at = next(i for i, line in enumerate(lines) if node in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    out, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            out.append(line.strip(" :+-"))
+    return out
+
+
+@pytest.mark.parametrize("limit", [{}, {"max_broadcast_keys": 1}, {"max_broadcast_bytes": 1}])
+def test_rows_of_their_own_are_never_shuffled(spark, data, tmp_path, limit):
+    path = str(tmp_path / "typed")
+    data[0].write.parquet(path)
+    settings = Settings(as_of=AS_OF, limits=Limits(**limit))
+    # Spark itself would broadcast tables as small as these.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(violations(spark.read.parquet(path), PACK, settings, LAYOUT))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    nodes = [n.split()[0].split("(")[0] for n in above(text, "FileScan")]
+    assert "Generate" in nodes
+    if "Exchange" in nodes:
+        assert nodes.index("Generate") < nodes.index("Exchange")
+    assert bool(limit) == ("Exchange" in nodes)
+
+
+def test_rows_of_hot_keys_are_spread(spark):
+    # The salt must stay a key of the join, or the shuffle would send a hot key to one task.
+    rows = spark.range(1000).selectExpr("CAST(if(id < 600, 0, id) AS STRING) AS k", "id AS row")
+    per_key = rows.groupBy("k").agg(F.expr("count(1) AS _n_rows"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = attach(rows, per_key, ["k"], "row", KeyStats.of(per_key), max_broadcast_keys=5, hot_key_rows=100)
+        text = plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    shuffles = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+    assert len([keys for keys in shuffles if "_salt" in keys]) == 2
+    assert joined.where("_n_rows = 600").count() == 600 and joined.count() == 1000
+
+
+@pytest.mark.parametrize("mode", ["default", "strict"])
+def test_last_event_takes_a_hash_aggregate(spark, data, mode):
+    typed, _ = data
+    ctx = SubjectContext(dict(typed.dtypes), LAYOUT, Settings(as_of=AS_OF, mode=mode))
+    for rule in PACK.only("V45", "V46").rules:
+        list(rule.findings(ctx))
+    rows = typed.selectExpr("*", "0L AS _first_row", "1L AS _last_row")
+    text = plan(ctx.about_subjects(rows))
+    assert "HashAggregate" in text and "SortAggregate" not in text
