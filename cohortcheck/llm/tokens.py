@@ -178,8 +178,10 @@ def count_edits(
     order to the text as it is then. A column ``leaves array<struct<chars,tokens>>`` from an earlier run saves counting
     the unchanged text again. Returns ``doc_id, n_tokens, n_tokens_edited, n_edits, n_leaves, n_encoded``
     (leaves encoded for the edits) and, ``with_state``, the edited ``text`` and its ``leaves``. A null text counts
-    as empty, null edits as none; columns called ``edits`` or ``leaves`` of another type are ignored; null ids, repeated rows and further columns are allowed. No shuffle: a
-    document's tree lives in its own row.
+    as empty. Null edits count as none, and so does an edit without a start or a stop; an edit without a text deletes. Leaves
+    that hold a null, or that are not as long as the text, are made anew. Columns called ``edits`` or ``leaves``
+    of another type are ignored; null ids, repeated rows and further columns are allowed. No shuffle: a document's
+    tree lives in its own row.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -203,7 +205,7 @@ def count_edits(
             for i, text in enumerate(batch.column("text").to_pylist()):
                 tree = _tree(text or "", leaves[i] if leaves else None, lambda leaf: len(encode(leaf)))
                 before, tree.encoded = tree.n_tokens, 0
-                todo = editor(text or "") if editor else [(e["start"], e["stop"], e["text"] or "") for e in (edits[i] or [])] if edits else []
+                todo = editor(text or "") if editor else given_edits(edits[i]) if edits else []
                 for edit in todo:
                     tree.edit(*edit)
                 filled = tree.filled()
@@ -221,8 +223,20 @@ def count_edits(
     return docs.select(*names).mapInArrow(work, schema)
 
 
-def _tree(text: str, leaves: list[dict] | None, count: Callable[[str], int]) -> CountTree:
-    if leaves is None or sum(x["chars"] for x in leaves) != len(text):
+def given_edits(edits: list[dict | None] | None) -> list[Edit]:
+    """The edits of a row, without those that are null or have no start or stop."""
+    whole = (e for e in edits or [] if e and e["start"] is not None and e["stop"] is not None)
+    return [(e["start"], e["stop"], e["text"] or "") for e in whole]
+
+
+def _usable(leaves: list[dict | None] | None, text: str) -> bool:
+    if leaves is None or any(x is None or None in (x["chars"], x["tokens"]) for x in leaves):
+        return False
+    return all(x["chars"] > 0 for x in leaves) and sum(x["chars"] for x in leaves) == len(text)
+
+
+def _tree(text: str, leaves: list[dict | None] | None, count: Callable[[str], int]) -> CountTree:
+    if not _usable(leaves, text):
         return CountTree(leaves_of(text), count)
     at, parts = 0, []
     for leaf in leaves:

@@ -354,3 +354,28 @@ def test_columns_that_only_share_a_name_with_the_state_are_ignored(spark, odd):
     clashing = odd.withColumn("leaves", F.lit("x")).withColumn("edits", F.lit(1))
     want = Counter(map(tuple, tokens.count_edits(odd, path).collect()))
     assert Counter(map(tuple, tokens.count_edits(clashing, path).collect())) == want
+
+
+def test_odd_edits_and_leaves_have_defined_results(spark):
+    path = bpe.tokenizer_path("byte_bpe_50k.tiktoken")
+    schema = (
+        "doc_id long, text string, edits array<struct<start:int,stop:int,text:string>>, "
+        "leaves array<struct<chars:int,tokens:int>>"
+    )
+    text = "one two three"
+    rows = [
+        (1, text, None, None),
+        (2, text, [None, (None, 3, "x"), (0, None, "x")], [None]),
+        (3, text, [(0, 4, None)], [(13, None)]),
+        (4, text, [(-5, 400, "")], [(0, 0), (13, 3)]),
+        (5, None, [(0, 0, "new")], []),
+        (6, text, [(9, 2, "ab")], [(-1, 1), (14, 3)]),
+        (None, text, [], [(13, 3)]),
+    ]
+    got = tokens.count_edits(spark.createDataFrame(rows, schema), path, with_state=True).collect()
+    texts = {r.doc_id: r.text for r in got}
+    assert texts == {1: text, 2: text, 3: "two three", 4: "", 5: "new", 6: "one two tabhree", None: text}
+    assert {r.doc_id: r.n_edits for r in got} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, None: 0}
+    fresh = spark.createDataFrame([(r.doc_id, r.text) for r in got], "doc_id long, text string")
+    want = {r.doc_id: r.n_tokens for r in tokens.count_edits(fresh, path).collect()}
+    assert {r.doc_id: r.n_tokens_edited for r in got} == want
