@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,15 @@ from cohortcheck.llm.common import checkpointed, importable, join_checked, read_
 
 # Labelled rows that the classifier keeps as examples at most, taken by a hash of their ids.
 MAX_EXAMPLES = 20_000
-# Terms at most, those that tell the labels apart best; and how well they must do so (G squared).
-MAX_TERMS = 4096
-LEAST_G2 = 24.0
+# Examples without a lean that a term's share of toxic examples is shrunken by, and the power of what it then tells.
+LEAN_ROWS = 5.0
+LEAN_POWER = 2.0
 NEIGHBOURS = 15
 BLOCK = 64
+# Terms of more than one in so many examples are kept as dense columns, at most ``DENSE``; texts that are scored at once.
+DENSE_SHARE = 16
+DENSE = 2048
+TEXTS = 64
 BINS = 20
 # Weight of the share of toxic examples among the votes.
 PRIOR_VOTES = 0.5
@@ -39,8 +45,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5
 
 
-def _term_counts(train: DataFrame) -> list[tuple[str, int, int]]:
-    """Terms with the number of toxic and of other examples that hold them; the ``MAX_TERMS`` best by G squared."""
+def _term_counts(train: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the examples, in order, and how far each tells their labels apart; none without both labels.
+
+    The latter is the log-odds of a toxic label given the term against those of any example, from a share shrunken by
+    ``LEAN_ROWS``: zero for a term that leans to no label.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,59 +62,96 @@ def _term_counts(train: DataFrame) -> list[tuple[str, int, int]]:
             yield pa.RecordBatch.from_arrays(arrays, ["term", "toxic", "other"])
 
     found = train.select("text", "toxic").mapInArrow(work, "term string, toxic long, other long")
-    found = found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic + other >= 3")
+    found = found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).orderBy("term")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     a, b = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not a or not b:
-        return []
-    share = (F.col("toxic") + F.col("other")) / F.lit(a + b)
+        return pa.array([], pa.string()), np.zeros(0)
+    table = found.toArrow()
+    toxic, other = (table.column(c).to_numpy().astype(np.float64) for c in ("toxic", "other"))
+    prior = a / (a + b)
+    share = (toxic + LEAN_ROWS * prior) / (toxic + other + LEAN_ROWS)
+    return table.column("term").combine_chunks(), np.abs(np.log(share / (1 - share)) - math.log(prior / (1 - prior)))
 
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    g2 = 2 * (
-        part(F.col("toxic"), share * a)
-        + part(F.col("other"), share * b)
-        + part(a - F.col("toxic"), (1 - share) * a)
-        + part(b - F.col("other"), (1 - share) * b)
-    )
-    best = found.withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "term").limit(MAX_TERMS)
-    return [(r["term"], r["toxic"], r["other"]) for r in best.collect()]
+def _pack(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending terms and their counts in few bytes: steps and counts, the bytes of equal weight side by side."""
+    if not len(terms):
+        return b""
+    both = np.concatenate((np.diff(terms, prepend=0), counts))
+    return zlib.compress(both.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not packed:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+    half = len(both) // 2
+    return both[:half].cumsum(), both[half:]
+
+
+class Terms:
+    """Numbers of the terms; the dictionary is made where it is used, once per process."""
+
+    def __init__(self, names: pa.Array):
+        self.names = names
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {term: i for i, term in enumerate(self.names.to_pylist())}
 
 
 def _vectors(docs: DataFrame, terms: Broadcast) -> DataFrame:
-    """``doc_id, terms, counts``: the chosen terms of each whole text."""
+    """``doc_id, terms``: the terms of each whole text that the examples know, with their counts, packed."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
-        number = terms.value
+        number = terms.value.number
         for batch in batches:
-            ids, counts = [], []
+            packed = []
             for text in batch.column("text").to_pylist():
-                found: Counter = Counter()
+                flat: list[int] = []
+                times: list[int] = []
                 for word, n in Counter(_WORD((text or "").lower())).items():
                     here = known.get(word)
                     if here is None:
                         if len(known) > 300_000:
                             known.clear()
                         here = known[word] = tuple(number[f] for f in _features(word) if f in number)
-                    for f in here:
-                        found[f] += n
-                order = sorted(found)
-                ids.append(order)
-                counts.append([found[f] for f in order])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                ["doc_id", "terms", "counts"],
-            )
+                    flat += here
+                    times += (n,) * len(here)
+                found, place = np.unique(np.array(flat, np.int64), return_inverse=True)
+                packed.append(_pack(found, np.bincount(place, times, len(found)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "terms"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, terms binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, terms array<int>, counts array<int>")
+def _frequencies(vectors: DataFrame, n_terms: int) -> np.ndarray:
+    """Number of texts that hold each term."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            for packed in batch.column("terms").to_pylist():
+                seen[_unpack(packed)[0]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["t", "n"])
+
+    table = vectors.select("terms").mapInArrow(work, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_terms, np.int64)
+    out[table.column("t").to_numpy()] = table.column("n").to_numpy()
+    return out
 
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples, by term, in blocks of neighbouring examples with their largest weights."""
+    """Unit TF-IDF vectors of the examples, by term, in blocks of neighbouring examples.
+
+    Rare terms have postings. Frequent ones are columns of a dense matrix, with their largest weight in each block.
+    """
 
     idf: np.ndarray
     ids: np.ndarray
@@ -112,80 +159,123 @@ class Index:
     example: np.ndarray
     weight: np.ndarray
     offsets: np.ndarray
+    slot: np.ndarray
+    dense: np.ndarray
     highest: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple[object, int, list[int], list[int]]], idf: np.ndarray) -> Index:
+    def of(rows: Iterable[tuple[object, int, list[int], list[int]]], idf: np.ndarray) -> Index:
         """``rows``: id, label, terms and counts; those that share their heaviest terms come to stand side by side."""
         weighed = []
         for doc_id, toxic, terms, counts in rows:
-            if terms:
-                weight = weigh(np.array(terms), np.array(counts), idf)
-                weighed.append((terms[int(np.argmax(weight))], doc_id, toxic, terms, weight))
+            if len(terms):
+                terms = np.array(terms, np.int32)
+                weight = weigh(terms, np.array(counts), idf).astype(np.float32)
+                weighed.append((int(terms[np.argmax(weight)]), doc_id, toxic, terms, weight))
         weighed.sort(key=lambda r: (r[0], r[1]))
         blocks = max(1, -(-len(weighed) // BLOCK))
-        term = np.array([t for r in weighed for t in r[3]], np.int64)
-        example = np.array([i for i, r in enumerate(weighed) for _ in r[3]], np.int64)
-        weight = np.array([w for r in weighed for w in r[4]], np.float64)
-        order = np.lexsort((example, term))
-        term, example, weight = term[order], example[order], weight[order]
-        cell = term * blocks + example // BLOCK
-        offsets = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-        highest = np.zeros(len(idf) * blocks)
-        np.maximum.at(highest, cell, weight)
-        return Index(
-            idf,
-            np.array([r[1] for r in weighed], object),
-            np.array([r[2] for r in weighed], np.float64),
-            example,
-            weight,
-            offsets,
-            highest.reshape(len(idf), blocks),
-        )
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of ``blocks`` that share a term, and their cosines."""
-        cells = terms[:, None] * self.highest.shape[1] + blocks[None, :]
-        start, stop = self.offsets[cells].ravel(), self.offsets[cells + 1].ravel()
+        term = np.concatenate([np.zeros(0, np.int32), *(r[3] for r in weighed)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(r[4] for r in weighed)])
+        example = np.repeat(np.arange(len(weighed), dtype=np.int32), [len(r[3]) for r in weighed])
+        ids, toxic = np.array([r[1] for r in weighed], object), np.array([r[2] for r in weighed], np.float64)
+        del weighed
+        known = np.bincount(term, minlength=len(idf))
+        frequent = np.argsort(-known, kind="stable")[:DENSE]
+        frequent = frequent[known[frequent] * DENSE_SHARE > len(ids)]
+        slot = np.full(len(idf), -1, np.int32)
+        slot[frequent] = np.arange(len(frequent))
+        dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        here = slot[term] >= 0
+        dense[example[here], slot[term[here]]] = weight[here]
+        term, example, weight = term[~here], example[~here], weight[~here]
+        order = np.argsort(term, kind="stable")
+        offsets = np.concatenate(([0], np.bincount(term, minlength=len(idf)).cumsum()))
+        dense = dense.reshape(blocks, BLOCK, len(frequent))
+        return Index(idf, ids, toxic, example[order], weight[order], offsets, slot, dense, dense.max(axis=1).T.copy())
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """What the postings of ``terms`` add to the cosine of each example."""
+        start, stop = self.offsets[terms], self.offsets[terms + 1]
         sizes = stop - start
         at = np.repeat(start - np.concatenate(([0], sizes.cumsum()[:-1])), sizes) + np.arange(sizes.sum())
-        by = np.repeat(np.repeat(weights, len(blocks)), sizes)
-        found, where = np.unique(self.example[at], return_inverse=True)
-        return found, np.bincount(where, weights=by * self.weight[at], minlength=len(found))
+        by = np.repeat(weights.astype(np.float32), sizes)
+        return np.bincount(self.example[at], weights=by * self.weight[at], minlength=len(self.dense) * BLOCK)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: object = None) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of highest cosine, exactly; ties go to the example that stands first.
+    def nearest_of(
+        self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: list | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``texts`` (terms, weights) the ``k`` examples of highest cosine; ties go to the one that stands first.
 
-        A block's bound is the sum of its largest weights. The most promising blocks are scored first; a block whose bound
-        stays below the k-th cosine found there cannot matter.
+        No example is passed over: a block's bound is what rare terms give it exactly plus the sum of the largest
+        weights of the frequent ones. The most promising blocks are scored first; a block whose bound stays below the
+        k-th cosine found there cannot matter. Weights have single precision.
         """
-        bound = weights @ self.highest[terms]
-        promising = np.argsort(-bound, kind="stable")
-        promising = promising[bound[promising] > 0]
-        found, score = self._scores(terms, weights, promising[:4])
+        blocks = len(self.dense)
+        score = np.zeros((len(texts), blocks * BLOCK), np.float32)
+        query = np.zeros((len(texts), len(self.highest)), np.float32)
+        for i, (terms, weights) in enumerate(texts):
+            slot = self.slot[terms]
+            query[i, slot[slot >= 0]] = weights[slot >= 0]
+            score[i] = self._rare(terms[slot < 0], weights[slot < 0])
+        out = np.zeros(score.shape, bool)
         if but is not None:
-            found, score = found[keep := self.ids[found] != but], score[keep]
-        if len(promising) > 4:
-            limit = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-            others = promising[4:]
-            others = others[bound[others] >= limit - 1e-9]
-            if len(others):
-                more, more_score = self._scores(terms, weights, others)
-                if but is not None:
-                    more, more_score = more[keep := self.ids[more] != but], more_score[keep]
-                found, score = np.concatenate((found, more)), np.concatenate((score, more_score))
-        order = np.lexsort((found, -np.round(score, 12)))[:k]
-        return found[order], score[order]
-
-    def vote(self, terms: list[int], counts: list[int], prior: float, but: object = None) -> tuple[float, list]:
+            place = {doc_id: at for at, doc_id in enumerate(self.ids)}
+            for i, doc_id in enumerate(but):
+                if doc_id in place:
+                    out[i, place[doc_id]] = True
+        bound = score.reshape(len(texts), blocks, BLOCK).max(axis=2) + query @ self.highest
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, :4], True, axis=1)
+        self._add(score, query, done)
+        first = np.where(np.repeat(done, BLOCK, axis=1) & ~out, score, 0)
+        limit = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.zeros(len(texts))
+        more = (bound >= limit[:, None] - 1e-5) & ~done
+        self._add(score, query, more)
+        score[np.repeat(~(done | more), BLOCK, axis=1) | out] = 0
+        return [self._best(row, k) for row in score]
+
+    def _add(self, score: np.ndarray, query: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds what the frequent terms give to the wanted blocks of each text."""
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            at = np.flatnonzero(wanted[:, b])
+            score[at, b * BLOCK : (b + 1) * BLOCK] += query[at] @ self.dense[b].T
+
+    @staticmethod
+    def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-6))
+        found = found[np.lexsort((found, -np.round(score[found], 6)))[:k]]
+        return found, score[found].astype(np.float64)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: object = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(terms, weights)], k, None if but is None else [but])[0]
+
+    def votes(self, texts: list[bytes], prior: float, but: list | None = None) -> list[tuple[float, list]]:
         """Share of toxic votes among the neighbours, by cosine, and the ids of the three nearest; -1 without neighbours."""
-        if not terms or not len(self.ids):
-            return -1.0, []
-        found, score = self.nearest(np.array(terms), weigh(np.array(terms), np.array(counts), self.idf), NEIGHBOURS, but)
-        if not len(found):
-            return -1.0, []
-        share = (float(score @ self.toxic[found]) + PRIOR_VOTES * prior) / (float(score.sum()) + PRIOR_VOTES)
-        return share, list(self.ids[found[:3]])
+        out: list[tuple[float, list]] = [(-1.0, [])] * len(texts)
+        usable = [i for i, packed in enumerate(texts) if packed and len(self.ids)]
+        for start in range(0, len(usable), TEXTS):
+            now = usable[start : start + TEXTS]
+            split = [_unpack(texts[i]) for i in now]
+            vectors = [(terms, weigh(terms, counts, self.idf)) for terms, counts in split]
+            near = self.nearest_of(vectors, NEIGHBOURS, None if but is None else [but[i] for i in now])
+            for i, (found, score) in zip(now, near):
+                if len(found):
+                    share = (float(score @ self.toxic[found]) + PRIOR_VOTES * prior) / (float(score.sum()) + PRIOR_VOTES)
+                    out[i] = share, list(self.ids[found[:3]])
+        return out
+
+
+class Examples:
+    """The packed vectors of the examples; their index is built where it is used, once per process."""
+
+    def __init__(self, table: pa.Table, idf: np.ndarray):
+        self.table, self.idf = table, idf
+
+    @cached_property
+    def index(self) -> Index:
+        columns = (self.table.column(c).to_pylist() for c in ("doc_id", "toxic", "terms"))
+        return Index.of(((i, toxic, *_unpack(packed)) for i, toxic, packed in zip(*columns)), self.idf)
 
 
 def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -200,20 +290,18 @@ def _voted(vectors: DataFrame, index: Broadcast, prior: float, leave_out: bool =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple, tuple[float, list]] = {}
-            votes, near = [], []
-            rows = (batch.column(c).to_pylist() for c in ("doc_id", "terms", "counts"))
-            for doc_id, terms, counts in zip(*rows):
-                key = (doc_id if leave_out else None, *terms, None, *counts)
-                if key not in seen:
-                    seen[key] = index.value.vote(terms, counts, prior, doc_id if leave_out else None)
-                votes.append(seen[key][0])
-                near.append(seen[key][1])
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "terms"))
+            keys = list(zip(ids, texts)) if leave_out else texts
+            place = {key: i for i, key in enumerate(keys)}
+            chosen = list(place.values())
+            found = index.value.index.votes([texts[i] for i in chosen], prior, [ids[i] for i in chosen] if leave_out else None)
+            seen = dict(zip(place, found))
+            votes, near = [seen[key][0] for key in keys], [seen[key][1] for key in keys]
             arrays = [*(batch.column(c) for c in names), pa.array(votes, pa.float64())]
             arrays.append(pa.array(near, pa.list_(batch.schema.field("doc_id").type)))
             yield pa.RecordBatch.from_arrays(arrays, [*names, "vote", "evidence"])
 
-    return vectors.select(*names, "terms", "counts").mapInArrow(work, schema)
+    return vectors.select(*names, "terms").mapInArrow(work, schema)
 
 
 def _bin(vote: Column) -> Column:
@@ -242,10 +330,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` for every row of ``docs(doc_id, text)``.
 
     Examples are at most ``MAX_EXAMPLES`` labelled documents outside the held-out fold (``crc32(doc_id) % 5 = 0``). Terms are
-    words and their beginnings, the ``MAX_TERMS`` that tell the examples' labels apart best; their document frequencies
+    words and their beginnings, all those of the examples; each weighs the more the better it tells the labels of the
+    examples apart, and none is left out (words that no example holds cannot meet one). Their document frequencies
     come from all documents. The score is the share of toxic votes among the nearest examples, calibrated on
     the examples themselves, each voted on by the others. ``evidence`` lists the nearest examples. Texts that are
-    null, empty or without a chosen term get the share of toxic examples of that kind. Rows without an id are scored,
+    null, empty or without a term of the examples get the share of toxic examples of that kind. Rows without an id are scored,
     and not held out. Several labels of a document count as toxic if one is; null labels are ignored; without both labels
     every score is the share of toxic labels. Repeated rows are scored alike.
     """
@@ -257,18 +346,18 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = checkpointed(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES))
     texts = docs.select("doc_id", "text")
     train = join_checked(texts, chosen, ["doc_id"], "inner")
-    best = _term_counts(train)
-    terms = context.broadcast({term: i for i, (term, _, _) in enumerate(best)})
+    names, lean = _term_counts(train)
+    size = len(names)
+    terms = context.broadcast(Terms(names))
     vectors = checkpointed(_vectors(texts, terms))
     n = vectors.count()
-    seen = vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()
-    idf = np.full(max(1, len(best)), math.log(n + 1.0) + 1.0)
-    for r in seen:
-        idf[r["t"]] = math.log((n + 1.0) / (r["count"] + 1.0)) + 1.0
+    idf = np.full(max(1, size), math.log(n + 1.0) + 1.0)
+    if size:
+        idf = (np.log((n + 1.0) / (_frequencies(vectors, size) + 1.0)) + 1.0) * (1 + lean) ** LEAN_POWER
     examples = checkpointed(join_checked(vectors, chosen, ["doc_id"], "inner").dropDuplicates(["doc_id"]))
-    rows = [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in examples.collect()]
-    prior = (sum(r[1] for r in rows) + 0.5) / (len(rows) + 1.0)
-    index = context.broadcast(Index.of(rows, idf))
+    kept = examples.select("doc_id", "toxic", "terms").toArrow()
+    prior = (sum(kept.column("toxic").to_pylist()) + 0.5) / (kept.num_rows + 1.0)
+    index = context.broadcast(Examples(kept, idf))
     # A few thousand short rows would share one partition, and so one core.
     spread = examples.repartition(context.defaultParallelism)
     table = _calibration(checkpointed(_voted(spread, index, prior, leave_out=True)), prior)

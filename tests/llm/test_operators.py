@@ -272,6 +272,26 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.score(none, labels).count() == 0 and toxicity.score(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_toxicity_with_few_labels_and_rare_words(spark):
+    """Every word of an example counts, also one that a single example holds, however few labels there are."""
+    docs = [(i, f"plain text about topic{i % 7} and thing{i}") for i in range(120)]
+    docs[1] = (1, "plain text about zorvex here")
+    docs[2] = (2, "plain text about quibble and mirth")
+    docs[118], docs[119] = (118, "another one says zorvex"), (119, "mirth of others")
+    marks = spark.createDataFrame([(i, int(i == 1)) for i in range(30)], "doc_id long, toxic int")
+    kept = {r[0] for r in marks.where(toxicity.fold(F.col("doc_id")) != 0).collect()}
+    assert {1, 2} <= kept and not {118, 119} & kept
+    got = rows_by_id(toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), marks))
+    assert got[118]["evidence"][0] == 1 and got[119]["evidence"][0] == 2
+    assert got[118]["score"] > got[119]["score"]
+    assert all(r["evidence"] for r in got.values())
+
+
+def test_packed_terms():
+    for terms, counts in (([], []), ([0], [3]), ([4, 70000, 800001], [1, 300, 2])):
+        assert [x.tolist() for x in toxicity._unpack(toxicity._pack(np.array(terms, int), np.array(counts, int)))] == [terms, counts]
+
+
 def test_block_max_search_is_exact():
     draw = np.random.default_rng(1)
     idf = draw.random(60) + 0.5
