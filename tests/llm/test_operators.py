@@ -244,6 +244,80 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(none).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD = """Copyright (c) 2020, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE = """Copyright 2020 A. Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_published_licenses_wrapped_or_not(spark):
+    given = {"MIT": MIT, "BSD": BSD, "Apache-2.0": APACHE, "GPL-3.0": GPL, "GPL-2.0": GPL.replace("version 3", "version 2")}
+    rows, want = [], {}
+    for name, text in given.items():
+        forms = [text, text.replace("\n", "\r\n"), " ".join(text.split()), "Some prose\n\n" + text]
+        forms.append("\n\n".join(" ".join(p.split()) for p in text.split("\n\n")))
+        forms += ["".join(f"{sign} {line}\n" for line in text.split("\n")) for sign in ("#", " *", "//")]
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+    rows.append((len(rows), "Licensed under\n\nthe Apache License, version 2.0."))
+    want[len(want)] = None
+    got = rows_by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r["license"] for i, r in got.items()} == want
+    assert got[0]["sequence"] == "MIH MIP MIN MIW"
+
+
 def test_urls(spark):
     given = {
         1: "http://WWW.Example.com/en/x", 2: "https://m.example.com/en/x?a", 3: "https://m.example.com/fr/", 4: None, 5: "no scheme",
