@@ -426,6 +426,49 @@ def test_pipeline(spark):
     assert out.count() > 0 and "ids_sha256" in out.columns
 
 
+def test_pipeline_stages_keep_what_the_operators_keep(spark, tmp_path):
+    """Each stage on its own input against the operator's verdict, the SQL where there is one, and the tokenizers library."""
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    verdicts = {
+        "quality_classifier": lambda d: quality.classify(d, labels).where("kept"),
+        "quality_rules": lambda d: rules.judge(d).where("kept"),
+        "near_duplicates": lambda d: neardup.group(d).where("doc_id = class_id"),
+        "mixing": lambda d: mixing.mix(d).where("kept"),
+    }
+    oracle = {"quality_rules": "op4_quality_rules", "mixing": "op7_mixing"}
+
+    def ids(df):
+        return Counter(r["doc_id"] for r in df.select("doc_id").collect())
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept = stage(spark, docs, SF_DIR)
+        got = ids(kept)
+        assert got == ids(verdicts[name](docs)), name
+        if name in oracle:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+            wanted = con.execute(f"SELECT doc_id FROM ({queries.oracle_sql()[oracle[name]]}) WHERE kept").fetchall()
+            assert got == Counter(i for i, in wanted), name
+        if name == "near_duplicates":
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert got == Counter(i for i, root in brute_classes(texts).items() if i == root)
+        rows = {r["doc_id"]: r for r in docs.collect()}
+        assert all(rows[r["doc_id"]] == r for r in kept.collect()), name
+        docs = kept
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    digests = rows_by_id(corpus_pipeline.run(spark, SF_DIR))
+    assert digests.keys() == texts.keys()
+    for i, text in texts.items():
+        tokens_ = library.encode(text or "", add_special_tokens=False).ids
+        assert digests[i]["n_tokens"] == len(tokens_)
+        assert digests[i]["ids_sha256"] == hashlib.sha256(b"".join(n.to_bytes(4, "little") for n in tokens_)).hexdigest()
+        assert digests[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF_DIR).count() <= len(ODD), name
