@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # ASCII white space; a word is a run of anything else.
@@ -176,3 +176,35 @@ def chunks(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
         size += len(text) + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+# ---- positions in an order, and folders of one run ---------------------------------------------------
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with its gapless ``position`` (from 0) in this order, checkpointed.
+
+    Rows are dealt to ranges whose ends Spark samples, each range is sorted by a task of its own, and the sizes of the
+    ranges before are added. ``order`` should tell all rows apart, so that no value fills a range by itself.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: as many as there are shuffle partitions, whatever the number of rows.
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    position = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], position.alias("position"))
+
+
+def text_digest(text: Column) -> Column:
+    """32 bytes that stand for a whole text; a null text is an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this run wrote, on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

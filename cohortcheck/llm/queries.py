@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortcheck.llm import bpe, licenses, mixing, neardup, quality, rules, tokens, toxicity, urls, vectors
+from cohortcheck.llm import bpe, licenses, mixing, neardup, quality, resampling, rules, tokens, toxicity, urls, vectors
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -20,6 +20,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_dedup": vectors.op10_embedding_dedup,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 
@@ -28,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**rules.SQL, **licenses.SQL, **mixing.SQL, **urls.SQL}
+    return {**rules.SQL, **licenses.SQL, **mixing.SQL, **urls.SQL, **resampling.SQL}
