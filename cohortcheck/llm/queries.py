@@ -7,7 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortcheck.llm import audit, bpe, licenses, mixing, neardup, quality, resampling, rules, tokens, toxicity, urls, vectors
+from cohortcheck.llm import (
+    audit,
+    bpe,
+    licenses,
+    mixing,
+    neardup,
+    quality,
+    resampling,
+    rules,
+    sharding,
+    tokens,
+    toxicity,
+    urls,
+    vectors,
+)
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -21,6 +35,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_embedding_dedup": vectors.op10_embedding_dedup,
     "op11_resampling": resampling.op11_resampling,
+    "op12_sharding": sharding.op12_sharding,
     "op13_filter_audit": audit.op13_filter_audit,
 }
 
@@ -30,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**rules.SQL, **licenses.SQL, **mixing.SQL, **urls.SQL, **resampling.SQL, **audit.SQL}
+    return {**rules.SQL, **licenses.SQL, **mixing.SQL, **urls.SQL, **resampling.SQL, **audit.SQL, **sharding.SQL}

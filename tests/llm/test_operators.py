@@ -54,7 +54,7 @@ def rows_by_id(df):
 def test_sql(spark, name):
     df = queries.queries()[name](spark, SF_DIR)
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     result = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in result.description]
