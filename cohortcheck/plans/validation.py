@@ -16,7 +16,7 @@ from cohortcheck.operators.normalize import Layout, normalize
 from cohortcheck.operators.profile import missing_profile
 from cohortcheck.plans.contexts import RowContext, SubjectContext
 from cohortcheck.plans.report import assemble
-from cohortcheck.plans.rules import CodeListRule, Finding, KeyPresentRule, Rule
+from cohortcheck.plans.rules import CodeListRule, EachFinding, Finding, KeyPresentRule, Rule
 from cohortcheck.plans.settings import Settings
 
 
@@ -44,10 +44,11 @@ class Pack:
 
 @dataclass(frozen=True)
 class Result:
-    """The two result tables."""
+    """The two result tables, and the values of the ``by`` columns in the input (None without such columns)."""
 
     report: DataFrame
     missing: DataFrame
+    sites: DataFrame | None = None
 
 
 def validate(df: DataFrame, pack: Pack, settings: Settings, layout: Layout | None = None) -> Result:
@@ -59,6 +60,7 @@ def validate(df: DataFrame, pack: Pack, settings: Settings, layout: Layout | Non
     return Result(
         assemble(violations(typed, pack, settings, layout), pack.rules, layout),
         missing_profile(keyed, profiled, layout.by),
+        typed.select(*map(ref, layout.by)).distinct() if layout.by else None,
     )
 
 
@@ -77,28 +79,28 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
     row_findings = list(_findings(pack.rules, single))
     group_findings = list(_findings(pack.rules, group))
     if not group.grouped:
-        return _emit(single.with_facts(typed), row_findings, pack.rules, layout)
+        return _emit(single.checked(typed), row_findings, pack.rules, layout)
 
     use_checkpoints(typed.sparkSession)
     repeated = repeated_keys(typed, keys, row).checkpoint()
     stats = KeyStats.of(repeated)
     if stats.keys == 0:
-        return _emit(single.with_facts(typed), row_findings, pack.rules, layout)
+        return _emit(single.checked(typed), row_findings, pack.rules, layout)
 
     limits = settings.limits
     sizes = (limits.max_broadcast_keys, limits.hot_key_rows, limits.max_broadcast_bytes)
     few = stats.keys <= stats.sendable(limits.max_broadcast_keys, limits.max_broadcast_bytes)
     if few:
         alone = attach(typed, repeated, keys, row, stats, *sizes, how="anti")
-        found = _emit(single.with_facts(alone), row_findings, pack.rules, layout)
+        found = _emit(single.checked(alone), row_findings, pack.rules, layout)
     else:
         # Rows stay where they are: what they show is moved instead, and dropped where the key repeats.
-        found = _emit(single.with_facts(typed), row_findings, pack.rules, layout)
+        found = _emit(single.checked(typed), row_findings, pack.rules, layout)
         found = attach(found, repeated, keys, row, stats, *sizes, how="anti")
     needed = [*keys, row, *sorted(group.used - layout.reserved)]
-    some = typed.select(*needed)
+    some = group.with_slots(typed, [ref(c) for c in needed])
     shared = attach(some if few else candidates(some, repeated, keys, stats), repeated, keys, row, stats, *sizes)
-    if group.aggregates or group.carried:
+    if group.aggregates or group.carried or group.by_place:
         # Read twice from here on; finding these rows again would read the whole table again.
         shared = shared.checkpoint()
         # Checkpointed, since its records are measured before they are sent around.
@@ -108,10 +110,11 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
                 shared, keys, row, group.carried, stats.rows, stats.largest, limits.chunk_rows
             )
         shared = attach(shared.drop(N_ROWS), facts, keys, row, KeyStats.of(facts), *sizes)
-    return found.unionByName(_emit(group.with_facts(shared), group_findings, pack.rules, layout, keyless=False))
+    rows = group.with_pairs(group.with_facts(shared))
+    return found.unionByName(_emit(rows, group_findings, pack.rules, layout, keyless=False))
 
 
-def _findings(rules: Iterable[Rule], ctx: RowContext | SubjectContext) -> Iterable[tuple[str, Finding]]:
+def _findings(rules: Iterable[Rule], ctx: RowContext | SubjectContext) -> Iterable[tuple[str, Finding | EachFinding]]:
     for rule in rules:
         for finding in rule.findings(ctx):
             yield rule.rule_id, finding
@@ -119,7 +122,7 @@ def _findings(rules: Iterable[Rule], ctx: RowContext | SubjectContext) -> Iterab
 
 def _emit(
     rows: DataFrame,
-    findings: list[tuple[str, Finding]],
+    findings: list[tuple[str, Finding | EachFinding]],
     rules: Iterable[Rule],
     layout: Layout,
     keyless: bool = True,
@@ -127,12 +130,16 @@ def _emit(
     """One output row per finding that holds.
 
     All findings share one pass over ``rows``: each is an element of an array column that is null
-    unless it holds, and the nulls are dropped as the array unrolls. The array is a column of its
-    own, so that Spark may compile it in small methods; the outer unrolling keeps the optimizer from
-    computing it twice to test for emptiness.
+    unless it holds, and the nulls are dropped as the array unrolls; findings about the elements of an array
+    follow them. The array is a column of its own, so that Spark may compile it in small methods; the outer unrolling
+    keeps the optimizer from computing it twice to test for emptiness.
     """
     nothing = Finding("false", "''", "''")
-    held = array(_entry(rule_id, f) for rule_id, f in findings or [("", nothing)])
+    alone = [(rule_id, f) for rule_id, f in findings if isinstance(f, Finding)]
+    held = array(_entry(rule_id, f) for rule_id, f in alone or [("", nothing)])
+    each = [_entries(rule_id, f) for rule_id, f in findings if isinstance(f, EachFinding)]
+    if each:
+        held = f"concat({', '.join([held, *each] if alone else each)})"
     if keyless:
         no_key = f"{ref(layout.subject)} IS NULL"
         entries = [_entry(r.rule_id, r.keyless(layout)) for r in rules if isinstance(r, KeyPresentRule)]
@@ -148,7 +155,16 @@ def _emit(
     return _per_bad_code(found.where("rule_id IS NOT NULL"), lists)
 
 
+def _entries(rule_id: str, each: EachFinding) -> str:
+    found = f"filter({each.items}, {each.element} -> {each.finding.when})"
+    return f"transform({found}, {each.element} -> {_shown(rule_id, each.finding)})"
+
+
 def _entry(rule_id: str, finding: Finding) -> str:
+    return f"CASE WHEN {finding.when} THEN {_shown(rule_id, finding)} END"
+
+
+def _shown(rule_id: str, finding: Finding) -> str:
     shown = {
         "rule_id": quoted(rule_id),
         "column1": finding.column1,
@@ -157,7 +173,7 @@ def _entry(rule_id: str, finding: Finding) -> str:
         "value2": finding.value2 or quoted(None),
     }
     fields = ", ".join(f"'{name}', {value}" for name, value in shown.items())
-    return f"CASE WHEN {finding.when} THEN named_struct({fields}) END"
+    return f"named_struct({fields})"
 
 
 def _per_bad_code(found: DataFrame, rules: list[CodeListRule]) -> DataFrame:
