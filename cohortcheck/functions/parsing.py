@@ -20,20 +20,27 @@ _MONTH_DAY_YEAR = r"(?s)^(?:(\d{1,2})/(\d{1,2})/(\d{1,4}).*|.*)$"
 _YEAR_MONTH_DAY = r"(?s)^(?:(\d{1,4})-(\d{1,2})-(\d{1,2}).*|.*)$"
 
 
-# White space of Unicode, as the escapes of a SQL literal, and as a class in a regular expression.
-_BLANKS = " \\t\\n\\u000B\\u000C\\r\\u0085\\u00A0\\u1680" + "".join(f"\\u200{c}" for c in "0123456789A")
+# White space of ASCII and of Unicode, as the escapes of a SQL literal, and as a class in a regular expression.
+_ASCII_BLANKS = " \\t\\n\\u000B\\u000C\\r"
+_BLANKS = _ASCII_BLANKS + "\\u0085\\u00A0\\u1680" + "".join(f"\\u200{c}" for c in "0123456789A")
 _BLANKS += "\\u2028\\u2029\\u202F\\u205F\\u3000"
 BLANK_CLASS = r"[\s\x85\p{Z}]"
 
 
 def trimmed(cell: str) -> str:
-    """The cell without white space at its ends."""
-    return f"btrim({cell}, '{_BLANKS}')"
+    """The cell without white space at its ends. Only cells with a character beyond ASCII are held against all of Unicode's."""
+    blanks = f"if(octet_length({cell}) = char_length({cell}), '{_ASCII_BLANKS}', '{_BLANKS}')"
+    return f"trim(BOTH {blanks} FROM {cell})"
+
+
+def known(cell: str, tokens: tuple[str, ...] = NULL_TOKENS) -> str:
+    """A trimmed cell; null when it is blank or one of ``tokens``."""
+    return f"CASE WHEN NOT {one_of(cell, ('', *tokens))} THEN {cell} END"
 
 
 def clean_text(cell: str, tokens: tuple[str, ...] = NULL_TOKENS) -> str:
     """The trimmed cell; null when it is blank or one of ``tokens``."""
-    return f"CASE WHEN NOT {one_of(trimmed(cell), ('', *tokens))} THEN {trimmed(cell)} END"
+    return known(trimmed(cell), tokens)
 
 
 def number(cell: str) -> str:

@@ -6,8 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from cohortcheck.functions import Selector, any_of, clean_text, contains, mixed_date, number, ref
-from cohortcheck.functions.parsing import NULL_TOKENS
+from cohortcheck.functions import Selector, any_of, contains, mixed_date, number, ref
+from cohortcheck.functions.parsing import NULL_TOKENS, known, trimmed
 
 
 @dataclass(frozen=True)
@@ -58,22 +58,27 @@ def clean_cells(df: DataFrame, layout: Layout) -> DataFrame:
     if twice:
         raise ValueError(f"columns that differ only by case: {', '.join(twice)}")
 
-    def clean(name: str) -> str:
-        cell = ref(name) if types[name] == "string" else f"CAST({ref(name)} AS STRING)"
-        return clean_text(cell, layout.null_tokens)
+    def short(name: str) -> str:
+        return trimmed(ref(name) if types[name] == "string" else f"CAST({ref(name)} AS STRING)")
 
-    return df.selectExpr(
+    # Two projections, so that each cell is trimmed once and then compared.
+    cells = layout.cells(df.columns)
+    short_cells = df.selectExpr(
         *[f"coalesce(CAST({ref(c)} AS STRING), '') AS {ref(c)}" for c in layout.by],
-        f"{clean(layout.subject)} AS {ref(layout.raw_key)}",
+        f"{short(layout.subject)} AS {ref(layout.raw_key)}",
         f"CAST({ref(layout.row)} AS BIGINT) AS {ref(layout.row)}",
-        *[f"{clean(c)} AS {ref(c)}" for c in layout.cells(df.columns)],
+        *[f"{short(c)} AS {ref(c)}" for c in cells],
+    )
+    kept = [*layout.by, layout.row]
+    return short_cells.selectExpr(
+        *[ref(c) if c in kept else f"{known(ref(c), layout.null_tokens)} AS {ref(c)}" for c in short_cells.columns]
     )
 
 
 def normalize(df: DataFrame, layout: Layout | None = None, drop_keyless: bool = True) -> DataFrame:
     """Null tokens to null, mixed dates to dates, numbers to doubles, absent optional columns added.
 
-    Two projections and no shuffle. Rows whose key is not a number are dropped, or kept with a null
+    Projections and no shuffle. Rows whose key is not a number are dropped, or kept with a null
     key when ``drop_keyless`` is false. A null ``by`` value becomes empty text, so that it still
     groups and joins.
     """

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from cohortcheck.functions import any_of, any_true, array, column, contains, holds, quoted, ref
-from cohortcheck.operators.reshape import Slot, SlotFamily
+from cohortcheck.functions import any_of, any_true, column, contains, holds, quoted, ref, text_of
+from cohortcheck.operators.reshape import SlotFamily
 from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectContext
 from cohortcheck.plans.rules import (
     Bound,
     CellRule,
     CodeListRule,
+    EachFinding,
     Finding,
     KeyPresentRule,
     KeyUniqueRule,
@@ -54,7 +55,7 @@ DOSE_BOUNDS = (
 
 @dataclass(frozen=True)
 class Names:
-    """Column names and slot templates."""
+    """Column names and slot templates. A viral load may have a key of any text; names with a part of ``other_loads`` are none."""
 
     viral_load: str
     baseline: str
@@ -65,10 +66,12 @@ class Names:
     rx_date: str
     discontinued: str
     discontinued_date: str
+    other_loads: tuple[str, ...]
 
     @property
     def viral_loads(self) -> SlotFamily:
-        return SlotFamily(self.viral_load, {"date": "date", "result": "string"})
+        fields = {"date": "date", "result": "string"}
+        return SlotFamily(self.viral_load, fields, keys=".*", without=self.other_loads)
 
     @property
     def shots(self) -> SlotFamily:
@@ -92,6 +95,7 @@ SHORT_NAMES = Names(
     rx_date="rx_date",
     discontinued="discontinued",
     discontinued_date="discontinued_date",
+    other_loads=("dx", "vl_pre_"),
 )
 
 # The column names of the clinical template.
@@ -105,6 +109,7 @@ CLINICAL_NAMES = Names(
     rx_date="icab_rpv_rx_date",
     discontinued="icab_rpv_discontinued",
     discontinued_date="icab_rpv_discontinued_date",
+    other_loads=("dx", "pre_icab"),
 )
 
 
@@ -220,8 +225,7 @@ def _shots(names: Names) -> list:
     # A slot with a date makes its subject "on therapy", so only rules that may fire on a slot
     # without one have to ask.
     def on_therapy(ctx: AnyContext) -> str:
-        dates = [ctx.value(s, family, "date") for s in family.slots(ctx.columns)]
-        return ctx.any(any_true(f"{d} IS NOT NULL" for d in dates))
+        return ctx.any(f"exists({ctx.slots(family)}, _e -> _e.date IS NOT NULL)")
 
     def not_after(ctx: Context, cells: dict[str, str], previous: Previous) -> str:
         return f"{cells['date']} <= {previous.values['date']}"
@@ -233,7 +237,7 @@ def _shots(names: Names) -> list:
         out = []
         for slot in family.slots(ctx.columns):
             if slot.index == 1:
-                empty = " AND ".join(f"{ctx.value(slot, family, f)} IS NULL" for f in family.fields)
+                empty = " AND ".join(f"{ctx.col(slot.column(f))} IS NULL" for f in family.fields)
                 bad = f"{on_therapy(ctx)} AND {ctx.on_first(empty)}"
                 out.append(Finding(bad, quoted(family.shown(slot, "date")), ctx.text(slot.column("date"))))
         return out
@@ -279,26 +283,12 @@ def _cell(ctx: Context, name: str) -> tuple[str, str]:
     return quoted(ctx.real(name) or name), ctx.text(name)
 
 
-@dataclass(frozen=True)
-class _Event:
-    """An event slot of a row, and whether it counts: an event after the first injection does not."""
-
-    slot: Slot
-    day: str
-    outcome: str
-    counts: str
-
-    @property
-    def some(self) -> str:
-        return f"{self.counts} AND ({self.day} IS NOT NULL OR {self.outcome} IS NOT NULL)"
-
-    @property
-    def full(self) -> str:
-        return f"{self.counts} AND {self.day} IS NOT NULL AND {self.outcome} IS NOT NULL"
-
-
 class _Course:
-    """The events of a row around its prescription, as seen by the event rules."""
+    """The events of a row around its prescription, as seen by the event rules.
+
+    An event after the first injection does not count. ``events`` is the array of all event slots, ``kept`` of those
+    that count. Conditions are about an element ``_e``.
+    """
 
     def __init__(self, ctx: AnyContext, names: Names):
         _require(
@@ -310,53 +300,49 @@ class _Course:
         self.prescribed = ctx.fact(holds(f"{rx} = '1'"))
         self.not_prescribed = f"(({rx} IS NULL OR {rx} = '0') AND {self.rx_date} IS NULL)"
         start = ctx.col(names.shot_date(1))
-        self.events = []
-        for slot in self.family.slots(ctx.columns):
-            day = ctx.value(slot, self.family, "date")
-            counts = f"({start} IS NULL OR {day} IS NULL OR {day} <= {start})"
-            self.events.append(_Event(slot, day, ctx.value(slot, self.family, "outcome"), ctx.fact(counts)))
+        self.events = ctx.slots(self.family)
+        counts = f"{start} IS NULL OR _e.date IS NULL OR _e.date <= {start}"
+        self.kept = ctx.fact(f"filter({self.events}, _e -> {counts})")
+
+    some = "(_e.date IS NOT NULL OR _e.outcome IS NOT NULL)"
+    full = "_e.date IS NOT NULL AND _e.outcome IS NOT NULL"
+
+    def has(self, event: str) -> bool:
+        """Has the table a slot of that kind?"""
+        return any(slot.event == event for slot in self.family.slots(self.ctx.columns))
 
-    def of(self, event: str) -> list[_Event]:
-        return [e for e in self.events if e.slot.event == event]
+    def exists(self, event: str, cond: str) -> str:
+        """Is there an event of that kind that counts, and for which ``cond`` holds?"""
+        return f"exists({self.kept}, _e -> _e.event = {quoted(event)} AND {holds(cond)})"
 
     @property
     def any_counts(self) -> str:
         """Does the row keep any event? Subjects without one are not checked."""
-        return self.ctx.fact(any_true(e.counts for e in self.events))
+        return f"(size({self.kept}) > 0)"
 
-    def after_rx(self, event: str) -> list[tuple[_Event, str]]:
-        """Events that count, of the given kind, and whether they are dated after the prescription."""
-        return [
-            (e, f"({e.counts} AND {self.prescribed} AND {holds(f'{e.day} > {self.rx_date}')})")
-            for e in self.of(event)
-        ]
+    @property
+    def after_rx(self) -> str:
+        """Is the event dated after the prescription?"""
+        return f"({self.prescribed} AND {holds(f'_e.date > {self.rx_date}')})"
 
     def supported(self, event: str) -> str:
         """An event that counts and precedes the prescription, or there is no prescription."""
-        before = [
-            f"{e.counts} AND {self.prescribed} AND {holds(f'{e.day} <= {self.rx_date}')}"
-            for e in self.of(event)
-        ]
-        return any_true([*before, f"{holds(self.not_prescribed)} AND {self.any_counts}"])
-
-    def wrong_outcome(self, event: str, wanted: str) -> list[tuple[_Event, str]]:
-        """Events that count, and whether their outcome speaks against the prescription."""
-        return [
-            (e, f"({e.counts} AND {self.prescribed} AND {holds(f'{e.outcome} <> {quoted(wanted)}')})")
-            for e in self.of(event)
-        ]
-
-    def largest(self, marked: list[tuple[_Event, str]]) -> str:
-        """The highest slot number among the marked events of the subject."""
-        numbers = array(f"CASE WHEN {bad} THEN {e.slot.index} END" for e, bad in marked)
-        return self.ctx.max(f"array_max({numbers})")
+        before = self.exists(event, f"{self.prescribed} AND _e.date <= {self.rx_date}")
+        return any_true([before, f"{holds(self.not_prescribed)} AND {self.any_counts}"])
+
+    def wrong_outcome(self, wanted: str) -> str:
+        """Does the outcome speak against the prescription?"""
+        return f"({self.prescribed} AND {holds(f'_e.outcome <> {quoted(wanted)}')})"
+
+    def largest(self, event: str, cond: str) -> str:
+        """The highest slot number among the events of that kind that count and for which ``cond`` holds, of the subject."""
+        marked = f"filter({self.kept}, _e -> _e.event = {quoted(event)} AND {cond})"
+        return self.ctx.max(f"array_max(transform({marked}, _e -> _e.index))")
 
     def at(self, event: str, index: str, part: str) -> tuple[str, str]:
         """Name and text of a field of the slot with a computed number."""
-        slots = [e.slot for e in self.of(event)]
-        names = [f"WHEN {s.index} THEN {quoted(self.family.shown(s, part))}" for s in slots]
-        texts = [f"WHEN {s.index} THEN {self.ctx.text(s.column(part))}" for s in slots]
-        return f"CASE {index} {' '.join(names)} END", f"CASE {index} {' '.join(texts)} END"
+        slot = f"get(filter({self.events}, _e -> _e.event = {quoted(event)} AND _e.index = {index}), 0)"
+        return f"{slot}.{part}_name", text_of(f"{slot}.{part}", self.family.fields[part])
 
 
 def _events(names: Names) -> list[SubjectRule]:
@@ -367,8 +353,8 @@ def _events(names: Names) -> list[SubjectRule]:
             not_all_1 = ctx.any(f"{kept} AND NOT {holds(f'{cell} = {quoted("1")}')}")
             not_all_0 = ctx.any(f"{kept} AND NOT {holds(f'{cell} = {quoted("0")}')}")
             not_all_null = ctx.any(f"{kept} AND {cell} IS NOT NULL")
-            some = ctx.any(any_true(e.some for e in course.of(event)))
-            full = ctx.any(any_true(e.full for e in course.of(event)))
+            some = ctx.any(course.exists(event, course.some))
+            full = ctx.any(course.exists(event, course.full))
             fine = (
                 f"(NOT {not_all_1} AND {some}) OR (NOT ({not_all_0} AND {not_all_null}) AND NOT {full})"
             )
@@ -379,8 +365,8 @@ def _events(names: Names) -> list[SubjectRule]:
     def first_slot(event: str):
         def make(ctx: AnyContext) -> list[Finding]:
             course = _Course(ctx, names)
-            full = ctx.any(any_true(e.full for e in course.of(event)))
-            first = ctx.any(any_true(e.some for e in course.of(event) if e.slot.index == 1))
+            full = ctx.any(course.exists(event, course.full))
+            first = ctx.any(course.exists(event, f"_e.index = 1 AND {course.some}"))
             shown = [course.family.name(1, part, event) for part in ("date", "outcome")]
             return [Finding(ctx.once(f"{full} AND NOT {first}"),
                             *_cell(ctx, shown[0]), *_cell(ctx, shown[1]))]
@@ -390,16 +376,15 @@ def _events(names: Names) -> list[SubjectRule]:
     def rx_before(event: str):
         def make(ctx: AnyContext) -> list[Finding]:
             course = _Course(ctx, names)
-            late = course.after_rx(event)
-            if not late:
+            if not course.has(event):
                 return []
+            late = course.after_rx
             if ctx.settings.mode == "strict":
-                others = [e.counts for e in course.events if e.slot.event != event]
-                spared = any_true([*others, *[f"{e.counts} AND NOT {bad}" for e, bad in late]])
+                spared = f"exists({course.kept}, _e -> _e.event <> {quoted(event)} OR NOT {late})"
             else:
                 spared = course.supported(event)
-            bad = f"{ctx.any(any_true(bad for _, bad in late))} AND NOT {ctx.any(spared)}"
-            index = course.largest(late)
+            bad = f"{ctx.any(course.exists(event, late))} AND NOT {ctx.any(spared)}"
+            index = course.largest(event, late)
             return [Finding(ctx.once(bad), *_cell(ctx, names.rx_date), *course.at(event, index, "date"))]
 
         return make
@@ -407,26 +392,21 @@ def _events(names: Names) -> list[SubjectRule]:
     def rx_despite(event: str, wanted: str):
         def make(ctx: AnyContext) -> list[Finding]:
             course = _Course(ctx, names)
-            against = course.wrong_outcome(event, wanted)
-            if not against:
+            if not course.has(event):
                 return []
-            strict = ctx.settings.mode == "strict"
-            candidates = []
-            for place, e in enumerate(course.events):
-                mine = e.slot.event == event
-                if not (mine or strict):
-                    continue
-                verdict = "CAST(NULL AS BOOLEAN)"
-                if mine:
-                    verdict = f"CASE WHEN {course.prescribed} THEN {e.outcome} <> {quoted(wanted)} END"
-                candidates.append(
-                    f"CASE WHEN {e.counts if strict else e.full} THEN named_struct("
-                    f"'undated', {e.day} IS NULL, 'day', {e.day}, 'row', {ref(ctx.layout.row)}, "
-                    f"'place', {place}, 'outcome', {verdict}) END"
-                )
-            last = ctx.last(array(candidates))
-            bad = f"{ctx.any(any_true(bad for _, bad in against))} AND {holds(last)}"
-            index = course.largest(against)
+            against = course.wrong_outcome(wanted)
+            verdict = f"CASE WHEN {course.prescribed} THEN _e.outcome <> {quoted(wanted)} END"
+            candidates = course.kept
+            if ctx.settings.mode == "strict":
+                verdict = f"CASE WHEN _e.event = {quoted(event)} THEN {verdict} END"
+            else:
+                candidates = f"filter({candidates}, _e -> _e.event = {quoted(event)} AND {course.full})"
+            last = ctx.last(
+                f"transform({candidates}, _e -> named_struct('undated', _e.date IS NULL, 'day', _e.date, "
+                f"'row', {ref(ctx.layout.row)}, 'place', _e.place, 'outcome', {verdict}))"
+            )
+            bad = f"{ctx.any(course.exists(event, against))} AND {holds(last)}"
+            index = course.largest(event, against)
             return [Finding(ctx.once(bad), *_cell(ctx, names.rx), *course.at(event, index, "outcome"))]
 
         return make
@@ -450,18 +430,18 @@ def _events(names: Names) -> list[SubjectRule]:
         return [Finding(bad, *_cell(ctx, names.discontinued))]
 
     def extreme_event(event: str):
-        def make(ctx: AnyContext) -> list[Finding]:
-            mine = _Course(ctx, names).of(event)
-            future = [f"{e.counts} AND {ctx.future(e.day)}" for e in mine]
-            early = [f"{e.counts} AND {ctx.too_early(e.day)}" for e in mine]
-            any_future = ctx.any(any_true(future))
-            return [
-                Finding(
-                    f"{ctx.on_first(f)} OR (NOT {any_future} AND {ctx.on_first(b)})",
-                    *_cell(ctx, names.events.shown(e.slot, "date")),
-                )
-                for e, f, b in zip(mine, future, early, strict=True)
-            ]
+        def make(ctx: AnyContext) -> list[EachFinding]:
+            course = _Course(ctx, names)
+
+            def places(cond: str) -> str:
+                marked = f"filter({course.kept}, _e -> _e.event = {quoted(event)} AND {cond})"
+                return ctx.fact(f"transform({marked}, _e -> _e.place)")
+
+            future, early = places(ctx.future("_e.date")), places(ctx.too_early("_e.date"))
+            any_future = ctx.any(f"size({future}) > 0")
+            first_future, first_early = ctx.first_at(future)("_e.place"), ctx.first_at(early)("_e.place")
+            bad = f"{first_future} OR (NOT {any_future} AND {first_early})"
+            return [EachFinding(course.events, "_e", Finding(bad, "_e.date_name", text_of("_e.date", "date")))]
 
         return make
 

@@ -4,6 +4,7 @@ from cohortcheck.plans.rules import (
     Bound,
     CellRule,
     CodeListRule,
+    EachFinding,
     Finding,
     KeyPresentRule,
     KeyUniqueRule,
@@ -20,6 +21,7 @@ __all__ = [
     "Bound",
     "CellRule",
     "CodeListRule",
+    "EachFinding",
     "Finding",
     "KeyPresentRule",
     "KeyUniqueRule",

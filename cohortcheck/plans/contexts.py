@@ -5,26 +5,32 @@ those, :class:`RowContext` answers every question from the row itself, so that a
 plain expressions in a single pass without a shuffle. For subjects with several rows,
 :class:`SubjectContext` answers with columns that an aggregation over the subject, and the row
 before, have supplied.
+
+The slots of a family are data: one column holds them as an array of structs, and rules look at its elements. So the
+text of a rule is as long for forty slots as for two; only the array itself names every column.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortcheck.functions import holds, quoted, ref, text_of
+from cohortcheck.functions import array, holds, quoted, ref, text_of
 from cohortcheck.operators.keys import FIRST_ROW, LAST_ROW, N_ROWS
 from cohortcheck.operators.neighbours import PREVIOUS
 from cohortcheck.operators.normalize import Layout
-from cohortcheck.operators.reshape import Slot, SlotFamily
+from cohortcheck.operators.reshape import SlotFamily, index_of
 from cohortcheck.plans.settings import Settings
 
-LAST = "_last"
+LAST, FIRSTS = "_last", "_firsts"
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
-_FACT = "_fact"
+_FACT, _SLOTS, _PAIRS = "_fact", "_slots", "_pairs"
+# Room for the places of one question among the keys of ``FIRSTS``.
+_PLACES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -37,6 +43,13 @@ class Previous:
     names: dict[str, str]
     texts: dict[str, str]
 
+    @classmethod
+    def of(cls, element: str, family: SlotFamily) -> Previous:
+        """Read off an element of a slot array."""
+        values = {f: f"{element}.{f}" for f in family.fields}
+        texts = {f: text_of(values[f], kind) for f, kind in family.fields.items()}
+        return cls(f"{element}.index", values, {f: f"{element}.{f}_name" for f in family.fields}, texts)
+
 
 @dataclass
 class Context:
@@ -47,6 +60,8 @@ class Context:
     settings: Settings
     used: set[str] = field(default_factory=set)
     computed: dict[str, int] = field(default_factory=dict)
+    arrays: list[str] = field(default_factory=list)
+    paired: list[str] = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
@@ -70,9 +85,47 @@ class Context:
         """A cell as report text."""
         return text_of(self.col(name), self.types.get(self.real(name), "string"))
 
-    def value(self, slot: Slot, family: SlotFamily, name: str) -> str:
-        """A field of a slot."""
-        return self.col(slot.column(name), family.fields[name])
+    def slots(self, family: SlotFamily) -> str:
+        """A column with the slots of a family: an array of structs in slot order, with the ``place`` in it, the ``index``, the
+        ``event`` if the family has events, and each field with its ``…_name``, the column that it is in."""
+        slots = family.slots(self.columns)
+        dtype = family.index_type(slots)
+        # The array is made where all columns are, so they need not be carried along for it.
+        used = set(self.used)
+        entries = []
+        for place, slot in enumerate(slots):
+            parts = [f"'place', {place}", f"'index', {index_of(slot, dtype)}"]
+            parts += [f"'event', {quoted(slot.event)}"] if family.events else []
+            for f, kind in family.fields.items():
+                parts += [f"'{f}', {self._typed(slot.column(f), kind)}", f"'{f}_name', {quoted(family.shown(slot, f))}"]
+            entries.append(f"named_struct({', '.join(parts)})")
+        if not entries:
+            fields = ["place int", "index int", *(["event string"] if family.events else [])]
+            fields += [f"{f} {kind}, {f}_name string" for f, kind in family.fields.items()]
+            entries = [f"from_json('{{}}', '{', '.join(fields)}')"]
+        self.used = used
+        value = array(entries) if slots else f"filter({array(entries)}, _e -> false)"
+        if value not in self.arrays:
+            self.arrays.append(value)
+        return f"{_SLOTS}{self.arrays.index(value)}"
+
+    def _typed(self, name: str | None, kind: str) -> str:
+        """A cell as a field of that type; texts as the report shows them."""
+        if name is None:
+            return f"CAST(NULL AS {kind})"
+        return self.text(name) if kind == "string" else f"CAST({self.col(name)} AS {kind})"
+
+    def with_slots(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """``keep`` of ``rows``, and the slot arrays as further columns, where ``rows`` have none yet."""
+        missing = [(i, value) for i, value in enumerate(self.arrays) if f"{_SLOTS}{i}" not in rows.columns]
+        return rows.selectExpr(*keep, *[f"{value} AS {_SLOTS}{i}" for i, value in missing])
+
+    def _pair(self, slots: str, before: str) -> str:
+        """A column with an array of ``s``, a slot, and ``b``, the slot before; ``before`` is about the place ``_i``."""
+        value = f"transform({slots}, (_s, _i) -> named_struct('s', _s, 'b', {before}))"
+        if value not in self.paired:
+            self.paired.append(value)
+        return f"{_PAIRS}{self.paired.index(value)}"
 
     def fact(self, value: str) -> str:
         """A value of the row that many findings ask for: computed once per row, as a column.
@@ -85,6 +138,10 @@ class Context:
             self.computed[value] = max(below, default=-1) + 1
         return f"{_FACT}{list(self.computed).index(value)}"
 
+    def with_pairs(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which must have what is known of their neighbours, with the pairs of slots as further columns."""
+        return rows.selectExpr("*", *[f"{value} AS {_PAIRS}{i}" for i, value in enumerate(self.paired)])
+
     def with_facts(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the facts as further columns, one projection per level."""
         named = [(level, f"{value} AS {_FACT}{i}") for i, (value, level) in enumerate(self.computed.items())]
@@ -127,17 +184,19 @@ class RowContext(Context):
         """Does the subject own several rows?"""
         return "false"
 
-    def previous(self, family: SlotFamily, slots: list[Slot], at: int) -> Previous | None:
-        """The slot before ``slots[at]``."""
-        if at == 0:
-            return None
-        slot = slots[at - 1]
-        return Previous(
-            str(slot.index),
-            {f: self.value(slot, family, f) for f in family.fields},
-            {f: quoted(family.shown(slot, f)) for f in family.fields},
-            {f: self.text(slot.column(f)) for f in family.fields},
-        )
+    def pairs(self, family: SlotFamily) -> str:
+        """The slots of a family, each with the one before it (null for the first)."""
+        slots = self.slots(family)
+        return self._pair(slots, f"get({slots}, _i - 1)")
+
+    def first_at(self, places: str) -> Callable[[str], str]:
+        """``places`` lists slots of the row for which something holds. The result tells of a place whether this is the
+        first row of the subject on which it does."""
+        return lambda place: f"array_contains({places}, {place})"
+
+    def checked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of the table with all that findings ask for."""
+        return self.with_pairs(self.with_facts(self.with_slots(rows, ["*"])))
 
 
 @dataclass
@@ -146,6 +205,7 @@ class SubjectContext(Context):
 
     aggregates: list[str] = field(default_factory=list)
     carried: list[str] = field(default_factory=list)
+    by_place: list[str] = field(default_factory=list)
     grouped: bool = False
 
     def _aggregate(self, value: str) -> str:
@@ -186,42 +246,26 @@ class SubjectContext(Context):
         self.grouped = True
         return "true"
 
-    def previous(self, family: SlotFamily, slots: list[Slot], at: int) -> Previous:
-        """Slots are ordered by number and then by row. So on a later row it is the same slot of
+    def pairs(self, family: SlotFamily) -> str:
+        """Slots are ordered by number and then by row. So on a later row the slot before is the same one of
         the row before; on the first row, the slot before of the subject's last row."""
         self.grouped = True
-        this, before = slots[at], slots[at - 1] if at else None
-
-        def either(on_first: str, on_later: str) -> str:
-            return f"(CASE WHEN {self._on_first_row()} THEN {on_first} ELSE {on_later} END)"
-
-        def cell(part: str, shown: bool) -> str:
-            dtype = family.fields[part]
-            last = self._neighbour(LAST, before and before.column(part), dtype, shown)
-            return either(last, self._neighbour(PREVIOUS, this.column(part), dtype, shown))
-
-        def name(slot: Slot | None, part: str) -> str:
-            return quoted(slot and family.shown(slot, part))
+        slots = self.slots(family)
+        if slots not in self.carried:
+            self.carried.append(slots)
+        on_first, on_later = f"get({LAST}.{slots}, _i - 1)", f"get({PREVIOUS}.{slots}, _i)"
+        return self._pair(slots, f"CASE WHEN {self._on_first_row()} THEN {on_first} ELSE {on_later} END")
 
-        return Previous(
-            either(str(before.index) if before else "NULL", str(this.index)),
-            {f: cell(f, False) for f in family.fields},
-            {f: either(name(before, f), name(this, f)) for f in family.fields},
-            {f: cell(f, True) for f in family.fields},
-        )
+    def first_at(self, places: str) -> Callable[[str], str]:
+        self.grouped = True
+        if places not in self.by_place:
+            self.by_place.append(places)
+        base = self.by_place.index(places) * _PLACES
+        return lambda place: holds(f"try_element_at({FIRSTS}, {base} + {place}) = {ref(self.layout.row)}")
 
     def _on_first_row(self) -> str:
         return f"{ref(self.layout.row)} = {FIRST_ROW}"
 
-    def _neighbour(self, source: str, name: str | None, dtype: str, shown: bool) -> str:
-        if name is None:
-            return f"CAST(NULL AS {'string' if shown else dtype})"
-        self.used.add(name)
-        if name not in self.carried:
-            self.carried.append(name)
-        cell = f"{source}.{ref(name)}"
-        return text_of(cell, self.types[name]) if shown else cell
-
     def about_subjects(self, rows: DataFrame) -> DataFrame:
         """One record per subject: its row count, the aggregates, and its last row if needed.
 
@@ -233,7 +277,16 @@ class SubjectContext(Context):
         message = f"raise_error('{self.layout.row}: rows of a subject need ids that differ')"
         counted = f"CASE WHEN {first} > 1 THEN {message} ELSE count(1) END"
         wanted = [f"{counted} AS {N_ROWS}", *[f"{value} AS _s{i}" for i, value in enumerate(self.aggregates)]]
-        out = self.with_facts(rows).groupBy(*keys).agg(*[F.expr(w) for w in wanted])
+        rows = self.with_slots(rows, ["*"])
+        known = self.with_facts(rows)
+        out = known.groupBy(*keys).agg(*[F.expr(w) for w in wanted])
+        if self.by_place:
+            # First rows by question and slot, then one map per subject, of at most as many entries.
+            marks = [f"transform({places}, _p -> {i * _PLACES} + _p)" for i, places in enumerate(self.by_place)]
+            marked = known.selectExpr(*map(ref, keys), row, f"explode(concat({', '.join(marks)})) AS _mark")
+            firsts = marked.groupBy(*keys, "_mark").agg(F.expr(f"min({row}) AS _first"))
+            firsts = firsts.groupBy(*keys).agg(F.expr(f"map_from_entries(collect_list(struct(_mark, _first))) AS {FIRSTS}"))
+            out = out.join(firsts, keys, "left")
         if self.carried:
             carried = ", ".join(ref(c) for c in self.carried)
             last = rows.where(f"{row} = {LAST_ROW}").selectExpr(*map(ref, keys), f"struct({carried}) AS {LAST}")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from cohortcheck.functions import Selector, one_of, quoted, ref
+from cohortcheck.functions import Selector, array, one_of, quoted, ref, text_of
 from cohortcheck.functions.parsing import BLANK_CLASS, trimmed
 from cohortcheck.operators.normalize import Layout
 from cohortcheck.operators.reshape import SlotFamily
@@ -17,6 +17,9 @@ from cohortcheck.plans.contexts import Context, Previous, RowContext, SubjectCon
 
 AnyContext = RowContext | SubjectContext
 
+# From so many cells on, a rule about cells goes through them as an array; fewer are findings of their own.
+FEW_CELLS = 8
+
 
 @dataclass(frozen=True)
 class Finding:
@@ -32,6 +35,19 @@ class Finding:
     value2: str | None = None
 
 
+@dataclass(frozen=True)
+class EachFinding:
+    """A possible violation of each element of an array; ``finding`` is about ``element``, by that name."""
+
+    items: str
+    element: str
+    finding: Finding
+
+    @property
+    def when(self) -> str:
+        return self.finding.when
+
+
 @dataclass(frozen=True)
 class Rule:
     """Base of all rules: a stable id, a long text and a short one."""
@@ -40,7 +56,7 @@ class Rule:
     description: str
     short_message: str
 
-    def findings(self, ctx: AnyContext) -> list[Finding]:
+    def findings(self, ctx: AnyContext) -> list[Finding | EachFinding]:
         raise NotImplementedError
 
 
@@ -71,11 +87,15 @@ class CellRule(Rule):
     selector: Selector
     allowed: tuple[str, ...]
 
-    def findings(self, ctx: AnyContext) -> list[Finding]:
-        return [
-            Finding(f"NOT {one_of(ctx.text(name), self.allowed)}", quoted(name), ctx.text(name))
-            for name in self.selector(ctx.columns)
-        ]
+    def findings(self, ctx: AnyContext) -> list[Finding | EachFinding]:
+        names = self.selector(ctx.columns)
+        if len(names) < FEW_CELLS:
+            return [
+                Finding(f"NOT {one_of(ctx.text(name), self.allowed)}", quoted(name), ctx.text(name)) for name in names
+            ]
+        cells = array(f"named_struct('name', {quoted(name)}, 'text', {ctx.text(name)})" for name in names)
+        bad = Finding(f"NOT {one_of('_cell.text', self.allowed)}", "_cell.name", "_cell.text")
+        return [EachFinding(cells, "_cell", bad)]
 
 
 @dataclass(frozen=True)
@@ -114,24 +134,19 @@ class SlotRule(Rule):
     check: Callable[[Context, dict[str, str], Previous | None], str]
     show: tuple[str, ...]
 
-    def findings(self, ctx: AnyContext) -> list[Finding]:
+    def findings(self, ctx: AnyContext) -> list[EachFinding]:
         looks_back = any(f.startswith("<") for f in self.show)
-        slots = self.family.slots(ctx.columns)
-        out = []
-        for at, slot in enumerate(slots):
-            previous = ctx.previous(self.family, slots, at) if looks_back else None
-            if looks_back and previous is None:
-                continue
-            cells = {f: ctx.value(slot, self.family, f) for f in self.family.fields}
-            shown: list[str] = []
-            for f in self.show:
-                if f.startswith("<"):
-                    shown += [previous.names[f[1:]], previous.texts[f[1:]]]
-                else:
-                    name = self.family.shown(slot, f)
-                    shown += [quoted(name), ctx.text(slot.column(f))]
-            out.append(Finding(self.check(ctx, cells, previous), *shown))
-        return out
+        items, slot = (ctx.pairs(self.family), "_slot.s") if looks_back else (ctx.slots(self.family), "_slot")
+        previous = Previous.of("_slot.b", self.family) if looks_back else None
+        cells = {f: f"{slot}.{f}" for f in self.family.fields}
+        shown: list[str] = []
+        for f in self.show:
+            if f.startswith("<"):
+                shown += [previous.names[f[1:]], previous.texts[f[1:]]]
+            else:
+                shown += [f"{slot}.{f}_name", text_of(cells[f], self.family.fields[f])]
+        bad = self.check(ctx, cells, previous)
+        return [EachFinding(items, "_slot", Finding(f"_slot.b IS NOT NULL AND ({bad})" if looks_back else bad, *shown))]
 
 
 @dataclass(frozen=True)
