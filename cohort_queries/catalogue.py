@@ -9,14 +9,25 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_queries.cohort import cohort
+from cohort_queries.cohort import cohort, dirty, site_tables
 from cohortcheck import Layout, Settings, normalize, tune, validate, violations
 from cohortcheck.functions import any_of, column, contains
 from cohortcheck.operators import clean_cells, explode_codes, missing_profile, to_long
 from cohortcheck.packs import SHORT_NAMES, injectables
-from cohortcheck.plans import for_export, report_filter, report_page, summarize
+from cohortcheck.plans import for_export, report_filter, report_page, report_search, rules_that_fit, summarize
 from cohortcheck.plans.validation import use_checkpoints
-from cohortcheck.sources import choose_site, list_sites, read_cells, stage, write_result
+from cohortcheck.sources import (
+    choose_site,
+    list_sites,
+    publish,
+    read_cells,
+    read_page,
+    read_published,
+    read_sites,
+    stage,
+    write_ordered,
+    write_result,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,9 +182,122 @@ def _written(name: str, fmt: str) -> Query:
     return query
 
 
+SITE_RULES = ("V06", "V17", "V22", "V27", "V30", "V36", "V50")
+
+
+def own_headers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sites' tables as CSV with three different headers, read by name and cleaned."""
+    path = _folder(spark, "headers")
+    for site, cells in site_tables(spark, sf_dir).items():
+        cells.write.option("header", "true").csv(f"{path}/site={site}")
+    return clean_cells(read_cells(spark, path, "csv"), BY_SITE)
+
+
+def own_headers_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables as Parquet, each in a place of its own: violations of some rules at all sites."""
+    path = _folder(spark, "schemas")
+    tables = site_tables(spark, sf_dir)
+    for site, cells in tables.items():
+        cells.write.parquet(f"{path}/{site}")
+    cells = read_sites(spark, {site: f"{path}/{site}" for site in tables})
+    typed = normalize(cells, BY_SITE, drop_keyless=False)
+    return violations(typed, PACK.only(*SITE_RULES), SETTINGS, BY_SITE)
+
+
+PUBLISHED_RULES = ("V01", "V02", "V07", "V36")
+# Of what the second run sees, the first site sent nothing new, the second half of its rows, the third none at all.
+SECOND_RUN = "k % 3 = 1 AND k % 2 = 0"
+
+
+def _published(name: str, fmt: str) -> Query:
+    """A table as two runs of one day leave it, of which the second checks two sites again."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark, "published")
+        pack = PACK.only(*PUBLISHED_RULES)
+        every = table_by_site(spark, sf_dir)
+        publish(validate(every, pack, SETTINGS, BY_SITE), path, SETTINGS.as_of, fmt=fmt)
+        again = every.where("site = 'site-1' AND CAST(replace(subject_id, 'X-', '') AS BIGINT) % 2 = 0")
+        result = validate(again, pack, SETTINGS, BY_SITE)
+        publish(result, path, SETTINGS.as_of, fmt=fmt, sites=["site-1", "site-2"])
+        return read_published(spark, path, name)
+
+    return query
+
+
+# Slots under keys of any text: a number with a fraction comes between others, a key that is no number last.
+ANY_KEYS = {"vl_2_": "vl_1.5_", "vl_3_": "vl_baseline_"}
+
+
+def _any_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir)
+    names = {c: ANY_KEYS[c[:5]] + c[5:] for c in cells.columns if c[:5] in ANY_KEYS}
+    return cells.withColumnsRenamed(names)
+
+
+def slots_any_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = normalize(_any_keys(spark, sf_dir), LAYOUT, drop_keyless=False)
+    return violations(typed, PACK.only("V17", "V27", "V28", "V29"), SETTINGS, LAYOUT)
+
+
+def slots_long_any_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = normalize(_any_keys(spark, sf_dir), LAYOUT)
+    return to_long(typed, SHORT_NAMES.viral_loads, ["subject_id", "copy"], keys=True)
+
+
+WIDE_SHOTS = 30
+WIDE_RULES = ("V22", "V30", "V31", "V32", "V33", "V34", "V35", "V36", "V37")
+
+
+def wide_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The injection rules on a table with thirty injections."""
+    cells = cohort(tune(spark), sf_dir, WIDE_SHOTS)
+    wanted = ["subject_id", "copy", "vl_pre_result", *contains("shot")(cells.columns)]
+    typed = normalize(cells.select(*wanted), LAYOUT, drop_keyless=False)
+    return violations(typed, PACK.only(*WIDE_RULES), SETTINGS, LAYOUT)
+
+
+def dirty_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, numbers, keys and codes in the many spellings that people use."""
+    return normalize(dirty(spark, sf_dir), LAYOUT)
+
+
+def optional_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules on the two columns that a table may lack, where it has them."""
+    typed = normalize(dirty(spark, sf_dir), LAYOUT, drop_keyless=False)
+    return violations(typed, PACK.only("V02", "V06", "V14"), SETTINGS, LAYOUT)
+
+
+SEARCHED = {"description": "INJECTION", "rule_id": ["V30", "V34", "V35", "V99"]}
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written report, searched by ranges of numbers and dates, text in any case, and a list."""
+    path = _folder(spark, "searched")
+    result = validate(table(spark, sf_dir), rules_that_fit(PACK, **SEARCHED), SETTINGS, LAYOUT)
+    write_result(result, path, SETTINGS.as_of, site="all", tables=("report",))
+    report = spark.read.parquet(f"{path}/report").drop("site", "run_date")
+    return report_search(
+        report, **SEARCHED, subject_id="100 ... 40000", value2="2021-04-01 ... 2021-12-31", date_difference="... 20"
+    )
+
+
+PAGED_RULES = ("V07", "V30", "V34", "V35")
+
+
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fortieth page of a report that was written in order."""
+    path = _folder(spark, "ordered")
+    report = validate(table(spark, sf_dir), PACK.only(*PAGED_RULES), SETTINGS, LAYOUT).report
+    write_ordered(report, path, ORDER)
+    return read_page(spark, path, number=40, size=25)
+
+
+ORDER = ["rule_id", "subject_id", "column1", "value1", "column2", "value2"]
+
+
 def page(report: DataFrame) -> DataFrame:
-    order = ["rule_id", "subject_id", "column1", "value1", "column2", "value2"]
-    return report_page(report, order, number=3, size=25)
+    return report_page(report, ORDER, number=3, size=25)
 
 
 def queries() -> dict[str, Query]:
@@ -219,11 +343,22 @@ def queries() -> dict[str, Query]:
         "report_summary": _report(summarize),
         "report_filtered": _report(lambda r: report_filter(r, rule_id="V34", column2="shot2_date")),
         "report_page": _report(page),
+        "report_search": searched,
+        "report_page_deep": deep_page,
         "sites_in_one_pass": sites_in_one_pass,
         "site_missing_profile": site_profile,
         "one_site": one_site,
         "csv_cells": csv_cells,
         "written_report": _written("report", "parquet"),
         "written_missing": _written("missing", "csv"),
+        "own_headers_csv": own_headers_csv,
+        "own_headers_found": own_headers_found,
+        "published_report": _published("report", "parquet"),
+        "published_missing": _published("missing", "csv"),
+        "slots_any_key": slots_any_key,
+        "slots_long_any_key": slots_long_any_key,
+        "wide_shots": wide_shots,
+        "dirty_cells": dirty_cells,
+        "optional_codes": optional_codes,
         "list_sites": lambda spark, sf_dir: list_sites(table_by_site(spark, sf_dir)),
     }

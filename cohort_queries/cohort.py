@@ -54,8 +54,8 @@ def _cell(offset: str, style: str) -> str:
     )
 
 
-def cohort_columns() -> dict[str, str]:
-    """Column name -> expression over ``k`` (the order, as subject) and ``ok1``..``ok5`` (a number per shot)."""
+def cohort_columns(n_shots: int = N_SHOTS) -> dict[str, str]:
+    """Column name -> expression over ``k`` (the order, as subject) and ``ok1``, ``ok2``, … (a number per shot)."""
     out: dict[str, str] = {}
     for i, (name, low, mod) in enumerate(CODED, start=1):
         out[name] = (
@@ -64,7 +64,7 @@ def cohort_columns() -> dict[str, str]:
         )
     out["zip_code"] = f"CASE WHEN k % 19 <> 0 THEN {_text('10000 + k')} END"
     out["age"] = f"CASE WHEN k % 23 = 0 THEN 'N/A' ELSE {_text(f'18 + {_h('k', 20, 60)}')} END"
-    for n in range(1, N_SHOTS + 1):
+    for n in range(1, n_shots + 1):
         ok = f"ok{n}"
         offset = (
             f"(k % 90 + {60 * (n - 1)} + {_h(ok, n, 25)} - 12 "
@@ -120,38 +120,38 @@ def cohort_columns() -> dict[str, str]:
     return out
 
 
-def _shot_numbers() -> dict[str, str]:
-    """A number per shot from the order and its customer; an order has one to five shots."""
+def _shot_numbers(n_shots: int) -> dict[str, str]:
+    """A number per shot from the order and its customer; an order has one shot at least."""
     return {
-        f"ok{n}": f"CASE WHEN {n} <= 1 + o_orderkey % {N_SHOTS} THEN o_orderkey + {n - 1} * o_custkey END"
-        for n in range(1, N_SHOTS + 1)
+        f"ok{n}": f"CASE WHEN {n} <= 1 + o_orderkey % {n_shots} THEN o_orderkey + {n - 1} * o_custkey END"
+        for n in range(1, n_shots + 1)
     }
 
 
-def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cohort table on Spark, with ``copy`` as its row id.
+def cohort(spark: SparkSession, sf_dir: str, n_shots: int = N_SHOTS, where: str = "true") -> DataFrame:
+    """The cohort table on Spark, with ``copy`` as its row id, of the orders ``k`` for which ``where`` holds.
 
     Every order becomes a subject of its own, so the table grows with ``orders`` and nothing is shuffled.
     """
     firsts = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
-        "o_orderkey AS k", *[f"{expr} AS {name}" for name, expr in _shot_numbers().items()]
+        "o_orderkey AS k", *[f"{expr} AS {name}" for name, expr in _shot_numbers(n_shots).items()]
     )
-    copies = firsts.selectExpr(
+    copies = firsts.where(where).selectExpr(
         "*",
         "explode(array(0, CASE WHEN k % 97 = 0 THEN 1 END, CASE WHEN k % 89 = 0 THEN 2 END)) AS copy",
     ).where("copy IS NOT NULL")
     return copies.selectExpr(
         "CASE WHEN copy = 2 THEN concat('X-', CAST(k AS STRING)) ELSE CAST(k AS STRING) END AS subject_id",
         "copy",
-        *[f"{expr} AS {name}" for name, expr in cohort_columns().items()],
+        *[f"{expr} AS {name}" for name, expr in cohort_columns(n_shots).items()],
         "k",
     )
 
 
-def cohort_sql() -> str:
+def cohort_sql(n_shots: int = N_SHOTS, where: str = "true") -> str:
     """The same table as DuckDB common table expressions named ``w``, ``c`` and ``f``."""
-    cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in cohort_columns().items())
-    picks = ", ".join(f"{expr} AS {name}" for name, expr in _shot_numbers().items())
+    cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in cohort_columns(n_shots).items())
+    picks = ", ".join(f"{expr} AS {name}" for name, expr in _shot_numbers(n_shots).items())
     branches = "\n  UNION ALL\n  ".join(
         f"SELECT {key} AS subject_id, {copy} AS copy, * FROM c{where}"
         for key, copy, where in (
@@ -160,10 +160,108 @@ def cohort_sql() -> str:
             ("concat('X-', CAST(k AS STRING))", 2, " WHERE k % 89 = 0"),
         )
     )
-    return f"""w AS (SELECT o_orderkey AS k, {picks} FROM orders
+    return f"""w AS (SELECT * FROM (SELECT o_orderkey AS k, {picks} FROM orders) WHERE {where}
 ), c AS (SELECT k,
   {cols}
   FROM w
 ), f AS (
   {branches}
 )"""
+
+
+# ---- the same cohort as three sites send it, each with columns of its own -------------------------------
+
+SITES = ("site-0", "site-1", "site-2")
+SITE_OF = "concat('site-', CAST(k % 3 AS STRING))"
+# What a site's table lacks, and what it has besides: column -> expression over ``k``.
+LACKS = {"site-0": (), "site-1": ("shot5_date", "shot5_dose"), "site-2": ("vl_3_date", "vl_3_result", "rx_date")}
+GENDER = "CAST(1 + k % 7 AS STRING)"
+
+
+def site_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A table per site: the first as it is, the second with its columns in the other order, the third in capitals, with
+    another type of ``copy`` and a column that the others lack."""
+    out = {}
+    for number, site in enumerate(SITES):
+        table = cohort(spark, sf_dir, where=f"k % 3 = {number}")
+        names = [c for c in table.columns if c != "k" and c not in LACKS[site]]
+        if number == 1:
+            names = names[::-1]
+        if number == 2:
+            cells = [f"CAST({c} AS INT) AS COPY" if c == "copy" else f"{c} AS {c.upper()}" for c in names]
+            out[site] = table.selectExpr(*cells, f"{GENDER} AS gender_id")
+        else:
+            out[site] = table.select(*names)
+    return out
+
+
+def site_cells() -> dict[str, str]:
+    """What DuckDB has to see instead of a cell that a site's table lacks."""
+    lacking = {c: number for number, site in enumerate(SITES) for c in LACKS[site]}
+    return {c: f"CASE WHEN k % 3 <> {number} THEN {c} END" for c, number in lacking.items()}
+
+
+# ---- cells as people type them ---------------------------------------------------------------------
+
+_YEAR, _MONTH, _DAY = "(2019 + k % 5)", "(1 + k % 12)", "(1 + k % 28)"
+_TWO = "concat(CASE WHEN {0} < 10 THEN '0' ELSE '' END, CAST({0} AS STRING))"
+_Y, _M, _D = (f"CAST({x} AS STRING)" for x in (_YEAR, _MONTH, _DAY))
+_MM, _DD = _TWO.format(_MONTH), _TWO.format(_DAY)
+_SERIAL = "CAST(43466 + k % 2000 AS STRING)"
+_SPELLINGS = [
+    f"concat({_Y}, '-', {_MM}, '-', {_DD})",
+    f"concat({_Y}, '-', {_M}, '-', {_D})",
+    f"concat({_M}, '/', {_D}, '/', {_Y})",
+    f"concat({_MM}, '/', {_DD}, '/', {_Y})",
+    f"concat({_M}, '/', {_D}, '/', CAST(20 + k % 5 AS STRING))",
+    f"concat({_Y}, '-', {_MM}, '-', {_DD}, ' 10:30:00')",
+    f"concat({_M}, '/', {_D}, '/', {_Y}, ' 0:00')",
+    f"concat({_Y}, '-', {_MM}, '-', {_DD}, 'T00:00:00Z')",
+    _SERIAL,
+    f"concat({_SERIAL}, '.75')",
+    f"concat({_SERIAL}, '.0')",
+    f"concat(chr(160), {_Y}, '-', {_MM}, '-', {_DD}, chr(160), ' ')",
+    f"concat({_Y}, '-', {_M}, '-', CAST(29 + k % 5 AS STRING))",
+    f"concat({_D}, '/', {_M}, '/', {_Y})",
+    "'around March'", "'2021/3/5'", "'2021-03'", "'UNK'", "' 88888 '", "''", "'March-5'", "'-5'",
+]
+_NUMBERS = [
+    "CAST(k % 900 AS STRING)", "concat(' ', CAST(k % 900 AS STRING), chr(9))", "concat(CAST(k % 90 AS STRING), '.5')",
+    "concat(CAST(1 + k % 9 AS STRING), 'e2')", "concat(CAST(1 + k % 9 AS STRING), '.25E+1')", "concat('-', CAST(k % 90 AS STRING))",
+    "concat('+', CAST(k % 90 AS STRING), '.')", "'.5'", "concat('<', CAST(k % 90 AS STRING))", "'1,200'", "'12 kg'", "'NaN'", "'1d'",
+    "'.'", "'e5'", "'999999'", "'N/A'", "concat(chr(160), CAST(k % 90 AS STRING))",
+]
+
+
+def _by_turns(options: list[str], step: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(options))
+    return f"CASE (k * {step}) % {len(options)} {cases} END"
+
+
+def dirty_columns() -> dict[str, str]:
+    """Column name -> expression over ``k``: cells in many spellings, and the two columns that a table may lack."""
+    return {
+        "subject_id": _by_turns(
+            ["CAST(k AS STRING)", "concat('  ', CAST(k AS STRING), chr(160))", "concat('+', CAST(k AS STRING))",
+             "concat(CAST(k AS STRING), '.0')", "concat(CAST(k AS STRING), 'e0')", "concat('00', CAST(k AS STRING))",
+             "concat('#', CAST(k AS STRING))"], 1),
+        "visit_date": _by_turns(_SPELLINGS, 1),
+        "Date of Birth": _by_turns(_SPELLINGS, 5),
+        "cd4_last": _by_turns(_NUMBERS, 1),
+        "cd4_date": _by_turns(_SPELLINGS, 7),
+        "bmi": _by_turns(_NUMBERS, 5),
+        "age": _by_turns(_NUMBERS, 7),
+        "gender_id": _by_turns(["'1'", "'5'", "'6'", "' 2 '", "'1.0'", "'UNK'", "'unk'", "NULL"], 1),
+        "immigration_status_undoc": _by_turns(["'0'", "'1'", "'2'", "'Unk'", "concat('1', chr(160))"], 1),
+    }
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of such cells, a row per order, with ``copy`` as its row id."""
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS k")
+    return keys.selectExpr("k AS copy", *[f"{expr} AS `{name}`" for name, expr in dirty_columns().items()])
+
+
+def dirty_sql() -> str:
+    cells = ", ".join(f'{expr} AS "{name}"' for name, expr in dirty_columns().items())
+    return f"SELECT k AS copy, {cells} FROM (SELECT o_orderkey AS k FROM orders)"

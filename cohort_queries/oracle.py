@@ -6,8 +6,18 @@ slot by slot and subject by subject.
 
 from __future__ import annotations
 
-from cohort_queries.cohort import N_EVENTS, N_SHOTS, N_VIRAL_LOADS, cohort_columns, cohort_sql
-from cohortcheck.packs import injectables
+from cohort_queries.cohort import (
+    GENDER,
+    N_EVENTS,
+    N_SHOTS,
+    N_VIRAL_LOADS,
+    cohort_columns,
+    cohort_sql,
+    dirty_columns,
+    dirty_sql,
+    site_cells,
+)
+from cohort_queries.texts import TEXTS
 
 AS_OF = "2024-06-30"
 NOT_BEFORE = "2021-01-22"
@@ -72,7 +82,7 @@ def _date(c: str) -> str:
 
 
 def _typed(c: str) -> str:
-    if c in DATES:
+    if "date" in c:
         return f"{_date(c)} AS {c}"
     return f"TRY_CAST({c} AS DOUBLE) AS {c}" if c == "age" else c
 
@@ -86,8 +96,14 @@ def _slots(fields: dict[str, str], numbers: range, extra: str = "") -> str:
     )
 
 
-def base(site: str = "''") -> str:
-    """Common table expressions: n and t (typed rows, with and without key), vl, sh, ev, r."""
+def base(site: str = "''", n_shots: int = N_SHOTS, where: str = "true", cells: dict[str, str] | None = None,
+         gender: str = "NULL") -> str:
+    """Common table expressions: n and t (typed rows, with and without key), vl, sh, ev, r.
+
+    ``where`` picks the orders; ``cells`` says what stands in a column instead of its cell, ``gender`` in one that is absent.
+    """
+    columns = list(cohort_columns(n_shots))
+    cells = cells or {}
     by_slot = "OVER (PARTITION BY site, subject_id ORDER BY idx, copy)"
     carried = ", site, k"
     events = "\n  UNION ALL\n  ".join(
@@ -96,19 +112,19 @@ def base(site: str = "''") -> str:
         f"shot1_date AS anchor_date, discontinued, discontinued_date{carried} FROM t"
         for o, e in enumerate(EVENTS) for i in range(1, N_EVENTS + 1)
     )
-    return f"""WITH {cohort_sql()},
+    return f"""WITH {cohort_sql(n_shots, where)},
 cl AS (SELECT {_clean('subject_id')} AS subject_id_text, CAST(copy AS BIGINT) AS copy, k, {site} AS site,
-  {", ".join(f"{_clean(c)} AS {c}" for c in COLUMNS)} FROM f),
+  {", ".join(f"{_clean(cells.get(c, c))} AS {c}" for c in columns)} FROM f),
 n AS (SELECT CASE WHEN regexp_full_match(subject_id_text, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')
     THEN TRY_CAST(subject_id_text AS DOUBLE) END AS subject_id, subject_id_text, copy, k, site,
-  {", ".join(_typed(c) for c in COLUMNS)},
-  CAST(NULL AS VARCHAR) AS gender_id, CAST(NULL AS VARCHAR) AS immigration_status_undoc FROM cl),
+  {", ".join(_typed(c) for c in columns)},
+  CAST({gender} AS VARCHAR) AS gender_id, CAST(NULL AS VARCHAR) AS immigration_status_undoc FROM cl),
 t AS (SELECT * FROM n WHERE subject_id IS NOT NULL),
 r AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY site, subject_id ORDER BY copy) = 1),
 vl0 AS ({_slots({"date": "vl_{i}_date", "result": "vl_{i}_result"}, range(1, N_VIRAL_LOADS + 1), carried)}),
 vl AS (SELECT *, lag(date) {by_slot} AS pdate, lag(idx) {by_slot} AS pidx FROM vl0),
 sh0 AS ({_slots({"date": "shot{i}_date", "dose": "shot{i}_dose", "pre": "vl_pre_result"},
-                range(1, N_SHOTS + 1), carried)}),
+                range(1, n_shots + 1), carried)}),
 sh1 AS (SELECT *, lag(date) {by_slot} AS pdate, lag(idx) {by_slot} AS pidx, lag(dose) {by_slot} AS pdose,
   bool_or(date IS NOT NULL) OVER (PARTITION BY site, subject_id) AS on_therapy FROM sh0),
 sh AS (SELECT *, date_diff('day', pdate, date) AS gap,
@@ -145,7 +161,7 @@ def _offender(rule: str, name: str, bad: str, *shown: str, kept: bool = True) ->
     )
 
 
-def rule_sql(mode: str = "default") -> dict[str, str]:
+def rule_sql(mode: str = "default", n_shots: int = N_SHOTS) -> dict[str, str]:
     """One SELECT per rule over the tables of :func:`base`."""
     out = {
         "V01": _row("V01", "'subject_id'", "CAST(subject_id AS BIGINT)")
@@ -154,6 +170,7 @@ def rule_sql(mode: str = "default") -> dict[str, str]:
         + " FROM n WHERE subject_id IS NULL",
     }
     for rule, (columns, allowed) in DOMAINS.items():
+        columns = [f"shot{i}_dose" for i in range(1, n_shots + 1)] if rule == "V22" else columns
         out[rule] = " UNION ALL ".join(
             f"{_row(rule, f"'{c}'", c)} FROM t WHERE {c} NOT IN ({allowed})" for c in columns
         )
@@ -273,21 +290,87 @@ def rule_sql(mode: str = "default") -> dict[str, str]:
 SHOWN = "subject_id, copy, rule_id, column1, value1, column2, value2"
 
 
-def found_sql(*rules: str, mode: str = "default") -> str:
+def found_sql(*rules: str, mode: str = "default", shown: str = SHOWN, **options) -> str:
     """The violations of some rules."""
-    every = rule_sql(mode)
-    union = "\nUNION ALL\n".join(f"SELECT {SHOWN} FROM ({every[r]})" for r in rules)
-    return base() + union
+    every = rule_sql(mode, options.get("n_shots", N_SHOTS))
+    union = "\nUNION ALL\n".join(f"SELECT {shown} FROM ({every[r]})" for r in rules)
+    return base(**options) + union
+
+
+# White space at the ends of a cell, and what a cell must look like to be read.
+BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+NUMBER = r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _own_clean(c: str) -> str:
+    short = f"regexp_replace({c}, '^{BLANK}|{BLANK}$', '', 'g')"
+    return f"CASE WHEN {short} NOT IN ({TOKENS}) THEN {short} END"
+
+
+def _own_number(c: str) -> str:
+    return f"CASE WHEN regexp_full_match({c}, '{NUMBER}') THEN TRY_CAST({c} AS DOUBLE) END"
 
 
-def report_cte(site: str = "''") -> str:
-    """:func:`base` plus table ``rep``, the full report."""
-    texts = ", ".join(
-        "('{}', '{}', '{}')".format(*[v.replace("'", "''") for v in (r.rule_id, r.description, r.short_message)])
-        for r in injectables().rules
+def _own_date(c: str) -> str:
+    """The parts of a date by pattern, checked against the calendar by going to a day and back."""
+
+    def day(pattern: str, y: int, m: int, d: int) -> str:
+        part = {n: f"CAST(nullif(regexp_extract({c}, '{pattern}', {n}), '') AS INTEGER)" for n in (1, 2, 3)}
+        last = f"CASE WHEN {part[m]} BETWEEN 1 AND 12 THEN day(last_day(make_date({part[y]}, {part[m]}, 1))) END"
+        return f"CASE WHEN {part[d]} BETWEEN 1 AND {last} THEN make_date({part[y]}, {part[m]}, {part[d]}) END"
+
+    return (
+        f"CASE WHEN contains({c}, '/') THEN {day('^([0-9]{1,2})/([0-9]{1,2})/([0-9]{1,4})', 3, 1, 2)} "
+        f"WHEN contains({c}, '-') THEN {day('^([0-9]{1,4})-([0-9]{1,2})-([0-9]{1,2})', 1, 2, 3)} "
+        f"ELSE DATE '1899-12-30' + CAST(floor({_own_number(c)}) AS INTEGER) END"
     )
-    union = "\nUNION ALL\n".join(f"({sql})" for sql in rule_sql().values())
-    return base(site) + f""", found AS ({union}),
+
+
+def dirty_base() -> str:
+    """Common table expressions: x (cells of many spellings, cleaned) and y (typed)."""
+    names = list(dirty_columns())
+    clean = ", ".join(f'{_own_clean(f'"{c}"')} AS "{c}"' for c in names)
+
+    def typed(c: str) -> str:
+        name = f'"{c}"'
+        if "date" in c.lower():
+            return f"{_own_date(name)} AS {name}"
+        return f"{_own_number(name)} AS {name}" if c in ("cd4_last", "bmi", "age") else name
+
+    rest = ", ".join(typed(c) for c in names if c != "subject_id")
+    return f"""WITH x AS (SELECT copy, {clean} FROM ({dirty_sql()})),
+y AS (SELECT {_own_number('subject_id')} AS subject_id, subject_id AS subject_id_text, copy, {rest} FROM x)
+"""
+
+
+def optional_codes_sql() -> str:
+    def bad(rule: str, column: str, shown: str, cond: str) -> str:
+        return (
+            f"SELECT subject_id, copy, '{rule}' AS rule_id, '{column}' AS column1, {shown} AS value1, "
+            f"CAST(NULL AS VARCHAR) AS column2, CAST(NULL AS VARCHAR) AS value2 FROM y WHERE {cond}"
+        )
+
+    keyed = "subject_id IS NOT NULL AND"
+    return dirty_base() + " UNION ALL ".join([
+        bad("V02", "subject_id", "subject_id_text", "subject_id IS NULL"),
+        bad("V06", "gender_id", "gender_id", f"{keyed} gender_id NOT IN ({_codes(*range(1, 6))})"),
+        bad("V14", "immigration_status_undoc", "immigration_status_undoc", f"{keyed} immigration_status_undoc NOT IN ({YES_NO})"),
+    ])
+
+
+def any_key_sql() -> str:
+    """The second and third viral load under other names, in the same order."""
+    renamed = [f"replace(replace({c}, 'vl_2_', 'vl_1.5_'), 'vl_3_', 'vl_baseline_') AS {c}" for c in ("column1", "column2")]
+    shown = SHOWN.replace("column1", renamed[0]).replace("column2", renamed[1])
+    return found_sql("V17", "V27", "V28", "V29", shown=shown)
+
+
+def report_cte(site: str = "''", rules: tuple[str, ...] = (), **options) -> str:
+    """:func:`base` plus table ``rep``, the full report or that of some rules."""
+    texts = ", ".join("('{}', '{}', '{}')".format(rule, *[v.replace("'", "''") for v in t]) for rule, t in TEXTS.items())
+    every = rule_sql()
+    union = "\nUNION ALL\n".join(f"({every[r]})" for r in rules or every)
+    return base(site, **options) + f""", found AS ({union}),
 texts(rule_id, description, short_message) AS (VALUES {texts}),
 rep AS (SELECT site, subject_id, rule_id, description, column1, value1, column2, value2, short_message,
   CASE WHEN contains(column1, 'date') AND contains(column2, 'date')
@@ -319,6 +402,15 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT site, '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS total_count "
         "FROM t GROUP BY site" for c in PROFILED
     )
+    # The second run saw half of the second site's rows and none of the third.
+    published = {"site": SITE, "where": "k % 3 = 0 OR (k % 3 = 1 AND k % 2 = 0)"}
+    rules = ("V01", "V02", "V07", "V36")
+    published_report = report_cte(rules=rules, **published)
+    published_profile = base(**published) + " UNION ALL ".join(
+        f"SELECT site, '{c}' AS \"column\", count(*) - count({c}) AS n_missing, count(*) AS total_count "
+        f"FROM t GROUP BY site" for c in PROFILED
+    )
+    own = {"site": SITE, "cells": site_cells(), "gender": f"CASE WHEN k % 3 = 2 THEN {GENDER} END"}
     order = "rule_id, subject_id, column1, value1, column2, value2"
     return {
         "null_tokens": base() + f"SELECT subject_id_text, copy, {', '.join(COLUMNS)} FROM cl",
@@ -368,12 +460,33 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT {REPORT} FROM rep ORDER BY "
         + ", ".join(f"{c} NULLS FIRST" for c in order.split(", "))
         + " LIMIT 25 OFFSET 50",
+        "report_search": report_cte(rules=("V30", "V34", "V35"))
+        + f"SELECT {REPORT.replace('short_message, ', '')} FROM rep WHERE description ILIKE '%injection%' "
+          "AND subject_id BETWEEN 100 AND 40000 AND TRY_CAST(value2 AS DATE) BETWEEN DATE '2021-04-01' AND DATE '2021-12-31' "
+          "AND TRY_CAST(date_difference AS DOUBLE) <= 20",
+        "report_page_deep": report_cte(rules=("V07", "V30", "V34", "V35"))
+        + f"SELECT {REPORT} FROM rep ORDER BY "
+        + ", ".join(f"{c} NULLS FIRST" for c in order.split(", "))
+        + " LIMIT 25 OFFSET 975",
         "sites_in_one_pass": report_cte(SITE)
         + "SELECT site, rule_id, count(*) AS error_count FROM rep GROUP BY site, rule_id",
         "site_missing_profile": site_profile,
         "one_site": base(SITE) + f"SELECT {SHOWN} FROM ({rule_sql()['V30']}) WHERE site = 'site-1'",
         "list_sites": base(SITE) + "SELECT DISTINCT site FROM n",
         "csv_cells": base() + f"SELECT subject_id_text, copy, {', '.join(COLUMNS)} FROM cl",
+        "own_headers_csv": base(**own)
+        + f"SELECT site, subject_id_text, copy, {', '.join(COLUMNS)}, CASE WHEN k % 3 = 2 THEN {GENDER} END AS gender_id FROM cl",
+        "own_headers_found": found_sql("V06", "V17", "V22", "V27", "V30", "V36", "V50", shown=f"site, {SHOWN}", **own),
+        "published_report": published_report
+        + f"SELECT site, {REPORT.replace('short_message, ', '')}, '{AS_OF}' AS run_date FROM rep",
+        "published_missing": f"SELECT *, '{AS_OF}' AS run_date FROM ({published_profile})",
+        "slots_any_key": any_key_sql(),
+        "slots_long_any_key": base()
+        + "SELECT subject_id, copy, CASE idx WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.5 END AS index, "
+          "CASE idx WHEN 1 THEN '1' WHEN 2 THEN '1.5' ELSE 'baseline' END AS slot, date, result FROM vl0",
+        "wide_shots": found_sql("V22", "V30", "V31", "V32", "V33", "V34", "V35", "V36", "V37", n_shots=30),
+        "dirty_cells": dirty_base() + "SELECT * FROM y WHERE subject_id IS NOT NULL",
+        "optional_codes": optional_codes_sql(),
         "written_report": report_cte(SITE)
         + f"SELECT site, {REPORT.replace('short_message, ', '')}, '{AS_OF}' AS run_date FROM rep",
         "written_missing": f"SELECT *, '{AS_OF}' AS run_date FROM ({site_profile})",

@@ -16,8 +16,6 @@ MAX_BROADCAST_KEYS = 50_000
 MAX_BROADCAST_BYTES = 32 << 20
 # A key with at least this many rows is joined without moving its rows by key.
 HOT_KEY_ROWS = 1_000_000
-# Bits of a key filter: per key, and in all (32 MB). One bitmap of the SQL functions holds 32,768.
-BITS_PER_KEY, MAX_FILTER_BITS, _BITMAP = 16, 1 << 28, 1 << 15
 # Bytes that a value takes in memory besides its text.
 _CELL_BYTES = 16
 
@@ -98,20 +96,11 @@ def attach(
     return joined.where(f"{_HOT} IS NOT NULL").selectExpr(*map(ref, rows.columns), f"{_HOT}.*")
 
 
-def candidates(rows: DataFrame, per_key: DataFrame, keys: list[str], stats: KeyStats) -> DataFrame:
-    """The ``rows`` whose key may be in ``per_key``: all that are, and a few others; no row is moved.
+def rows_of(rows: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``per_key``, a written table of many keys, to ``rows``, by shuffle.
 
-    Key hashes mark bits, and rows look theirs up in broadcast bitmaps of at most 32 MB together. About one other row in
-    ``BITS_PER_KEY`` passes, and more of them once there are more than 16 million keys.
+    A plain join: while the keys are few enough for it, Spark tests ``rows`` with a Bloom filter of them before the shuffle
+    (``spark.sql.optimizer.runtime.bloomFilter``), and adaptive execution splits the partitions of hot keys. Both need the
+    size of ``per_key``, so it is read from files; the condition, always true, tells Spark that the keys are a selection.
     """
-    bits = max(_BITMAP, min(MAX_FILTER_BITS, BITS_PER_KEY * stats.keys))
-    place = f"pmod(xxhash64({', '.join(map(ref, keys))}), {bits}L)"
-    marks = (
-        per_key.selectExpr(f"{place} AS _place")
-        .groupBy(F.expr(f"_place div {_BITMAP}").alias("_map"))
-        .agg(F.expr(f"bitmap_construct_agg(_place % {_BITMAP}) AS _bits"))
-    )
-    byte = f"CAST(conv(hex(substring(_bits, CAST((_place % {_BITMAP}) div 8 AS INT) + 1, 1)), 16, 10) AS INT)"
-    marked = F.expr(f"_place div {_BITMAP} = _map AND bit_get({byte}, CAST(_place % 8 AS INT)) = 1")
-    known = rows.where(f"{ref(keys[-1])} IS NOT NULL").selectExpr("*", f"{place} AS _place")
-    return known.join(F.broadcast(marks), marked, "left_semi").drop("_place")
+    return rows.join(per_key.where(f"{N_ROWS} > 1"), keys)

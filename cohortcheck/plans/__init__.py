@@ -14,10 +14,12 @@ from cohortcheck.plans.rules import (
     interval_rule,
 )
 from cohortcheck.plans.report import assemble, for_export, report_filter, report_page, summarize
+from cohortcheck.plans.search import Between, report_search, rules_that_fit
 from cohortcheck.plans.settings import Limits, Settings
 from cohortcheck.plans.validation import Pack, Result, validate, violations
 
 __all__ = [
+    "Between",
     "Bound",
     "CellRule",
     "CodeListRule",
@@ -37,6 +39,8 @@ __all__ = [
     "for_export",
     "report_filter",
     "report_page",
+    "report_search",
+    "rules_that_fit",
     "summarize",
     "validate",
     "violations",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortcheck.functions import Selector, any_true, array, one_of, quoted, ref
-from cohortcheck.operators.joins import KeyStats, attach, candidates
+from cohortcheck.operators.joins import KeyStats, attach, rows_of
 from cohortcheck.operators.keys import N_ROWS, repeated_keys
 from cohortcheck.operators.neighbours import with_neighbour_rows
 from cohortcheck.operators.normalize import Layout, normalize
@@ -70,7 +71,7 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
     Subjects with one row, and rows without a key, are checked in one pass that moves no row. The
     keys on several rows are found first, from the key and row id columns alone; their rows take a
     second branch, which is left out when there are none or when no rule looks past a row. If the
-    keys are too many to be sent around, only findings and the rows that a key filter lets through are shuffled.
+    keys are too many to be sent around, findings are shuffled, and the columns that the second branch needs.
     """
     keys, row = layout.keys, layout.row
     types = dict(typed.dtypes)
@@ -99,7 +100,10 @@ def violations(typed: DataFrame, pack: Pack, settings: Settings, layout: Layout)
         found = attach(found, repeated, keys, row, stats, *sizes, how="anti")
     needed = [*keys, row, *sorted(group.used - layout.reserved)]
     some = group.with_slots(typed, [ref(c) for c in needed])
-    shared = attach(some if few else candidates(some, repeated, keys, stats), repeated, keys, row, stats, *sizes)
+    if few:
+        shared = attach(some, repeated, keys, row, stats, *sizes)
+    else:
+        shared = rows_of(some, _as_files(repeated), keys)
     if group.aggregates or group.carried or group.by_place:
         # Read twice from here on; finding these rows again would read the whole table again.
         shared = shared.checkpoint()
@@ -186,6 +190,14 @@ def _per_bad_code(found: DataFrame, rules: list[CodeListRule]) -> DataFrame:
     return found.selectExpr("*", f"{codes} AS _code").where(bad).drop("_code")
 
 
+def _as_files(table: DataFrame) -> DataFrame:
+    """``table``, written below the checkpoint folder, so that Spark plans with its true size."""
+    spark = table.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/keys-{uuid.uuid4()}"
+    table.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Checkpoint where ``spark.checkpoint.dir`` says; a local run without one gets its own folder."""
     context = spark.sparkContext
