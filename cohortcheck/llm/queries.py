@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortcheck.llm import (
@@ -41,7 +40,7 @@ OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**OPERATORS, "pipeline": corpus_pipeline.run}
+    return dict(OPERATORS)
 
 
 def oracle_sql() -> dict[str, str]:
