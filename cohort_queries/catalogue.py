@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohort_queries.cohort import cohort, dirty, site_tables
+from cohort_queries.cohort import N_SHOTS, cohort, dirty, site_tables
 from cohortcheck import Layout, Settings, normalize, tune, validate, violations
 from cohortcheck.functions import any_of, column, contains
 from cohortcheck.operators import clean_cells, explode_codes, missing_profile, to_long
@@ -39,21 +39,24 @@ PACK = injectables()
 DOMAIN_RULES = [f"V{i:02d}" for i in range(3, 24)]
 
 
-_STAGED: dict[tuple[str, str, tuple[str, ...]], tuple[str, list[str]]] = {}
+_STAGED: dict[tuple[str, str, tuple[str, ...], int], tuple[str, list[str]]] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ()) -> DataFrame:
+def _staged(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = (), n_shots: int = N_SHOTS) -> DataFrame:
     """The all-text cohort as a Parquet table, derived from ``orders`` once per session and folder.
 
-    It stands for the file that a site would send in, so queries start from a scan.
+    It stands for the file that a site would send in, so queries start from a scan. With another number of injections
+    than usual it holds their columns alone.
     """
     tune(spark)
     use_checkpoints(spark)
     context = spark.sparkContext
-    key = (context.applicationId, sf_dir, by)
+    key = (context.applicationId, sf_dir, by, n_shots)
     if key not in _STAGED:
         site = ["concat('site-', k % 3) AS site"] if by else []
-        wide = cohort(spark, sf_dir).selectExpr(*site, "* EXCEPT (k)")
+        wide = cohort(spark, sf_dir, n_shots).selectExpr(*site, "* EXCEPT (k)")
+        if n_shots != N_SHOTS:
+            wide = wide.select("subject_id", "copy", "vl_pre_result", *contains("shot")(wide.columns))
         path = f"{context.getCheckpointDir()}/cohort-{len(_STAGED)}"
         stage(wide, path, LAYOUT.row, by)
         _STAGED[key] = path, wide.columns
@@ -71,6 +74,11 @@ def table_by_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _staged(spark, sf_dir, ("site",))
 
 
+def table_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and injections of a cohort with thirty of them."""
+    return _staged(spark, sf_dir, n_shots=WIDE_SHOTS)
+
+
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(table(spark, sf_dir), LAYOUT)
 
@@ -251,9 +259,7 @@ WIDE_RULES = ("V22", "V30", "V31", "V32", "V33", "V34", "V35", "V36", "V37")
 
 def wide_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The injection rules on a table with thirty injections."""
-    cells = cohort(tune(spark), sf_dir, WIDE_SHOTS)
-    wanted = ["subject_id", "copy", "vl_pre_result", *contains("shot")(cells.columns)]
-    typed = normalize(cells.select(*wanted), LAYOUT, drop_keyless=False)
+    typed = normalize(table_wide(spark, sf_dir), LAYOUT, drop_keyless=False)
     return violations(typed, PACK.only(*WIDE_RULES), SETTINGS, LAYOUT)
 
 
