@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructType
 
 from cohortcheck.plans.validation import Result
 from cohortcheck.sources import files
-from cohortcheck.sources.writers import DAY, SITE, TABLES, checked_sites, dated, has_sites, write_table
+from cohortcheck.sources.writers import DAY, SITE, TABLES, checked_sites, has_sites, spread, write_table
 
 RUN = "run"
 _KEYS = [SITE, DAY]
@@ -46,7 +46,7 @@ def publish(
     run = uuid.uuid4().hex
     schemas = {}
     for name in TABLES:
-        table = dated(result, name, run_date, site)
+        table = spread(result, name, run_date, site, _KEYS)
         schemas[name] = table.drop(*_KEYS).schema.json()
         write_table(table, f"{path}/{name}/{RUN}={run}", _KEYS, fmt)
     entries = checked_sites(result, run_date, site, sites).select(*_KEYS, F.lit(run).alias(RUN))
