@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine, found in a block-max index."""
+"""Toxicity by the nearest labelled examples under TF-IDF cosine, found in an index of their terms."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ BLOCK = 64
 # Terms of more than one in so many examples are kept as dense columns, at most ``DENSE``; texts that are scored at once.
 DENSE_SHARE = 16
 DENSE = 2048
-TEXTS = 64
+TEXTS = 256
 BINS = 20
 # Weight of the share of toxic examples among the votes.
 PRIOR_VOTES = 0.5
@@ -36,9 +36,14 @@ PRIOR_VOTES = 0.5
 _WORD = re.compile(r"\w+").findall
 
 
+# Lengths of the beginnings of a word that are terms too, and words whose terms a process remembers.
+_BEGINNINGS = (4, 5, 6)
+WORDS = 300_000
+
+
 def _features(word: str) -> list[str]:
     """A word and its beginnings, by which related forms meet."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(f"{word[:n]}-" for n in _BEGINNINGS if len(word) > n)]
 
 
 def fold(doc_id: Column) -> Column:
@@ -102,28 +107,44 @@ class Terms:
         return {term: i for i, term in enumerate(self.names.to_pylist())}
 
 
+class Known(dict):
+    """Words met so far, each with its row of ``numbers``: those of its terms, -1 where there is none."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+        self.numbers = np.full((1024, 1 + len(_BEGINNINGS)), -1, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        row = len(self)
+        self[word] = row
+        if row == len(self.numbers):
+            self.numbers = np.concatenate((self.numbers, np.full_like(self.numbers, -1)))
+        here = [self.number.get(f, -1) for f in _features(word)]
+        self.numbers[row] = here + [-1] * (self.numbers.shape[1] - len(here))
+        return row
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text in order, and how often each is met."""
+        if len(self) > WORDS:
+            self.clear()
+        words = Counter(_WORD((text or "").lower()))
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        times = np.fromiter(words.values(), np.int64, len(words))
+        here = self.numbers[rows]
+        held = here >= 0
+        found, place = np.unique(here[held], return_inverse=True)
+        return found, np.bincount(place, np.broadcast_to(times[:, None], here.shape)[held], len(found)).astype(np.int64)
+
+
 def _vectors(docs: DataFrame, terms: Broadcast) -> DataFrame:
     """``doc_id, terms``: the terms of each whole text that the examples know, with their counts, packed."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        number = terms.value.number
+        known = Known(terms.value.number)
         for batch in batches:
-            packed = []
-            for text in batch.column("text").to_pylist():
-                flat: list[int] = []
-                times: list[int] = []
-                for word, n in Counter(_WORD((text or "").lower())).items():
-                    here = known.get(word)
-                    if here is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        here = known[word] = tuple(number[f] for f in _features(word) if f in number)
-                    flat += here
-                    times += (n,) * len(here)
-                found, place = np.unique(np.array(flat, np.int64), return_inverse=True)
-                packed.append(_pack(found, np.bincount(place, times, len(found)).astype(np.int64)))
+            packed = [_pack(*known.counted(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "terms"])
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, terms binary")
@@ -148,20 +169,19 @@ def _frequencies(vectors: DataFrame, n_terms: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Unit TF-IDF vectors of the examples, by term, in blocks of neighbouring examples.
+    """Unit TF-IDF vectors of the examples, by term.
 
-    Rare terms have postings. Frequent ones are columns of a dense matrix, with their largest weight in each block.
+    Rare terms have postings: an example, and the bits of its weight times the term's inverse frequency, side by side. Frequent
+    ones are columns of a dense matrix, whose rows are filled up to whole blocks.
     """
 
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    example: np.ndarray
-    weight: np.ndarray
+    postings: np.ndarray
     offsets: np.ndarray
     slot: np.ndarray
     dense: np.ndarray
-    highest: np.ndarray
 
     @staticmethod
     def of(rows: Iterable[tuple[object, int, list[int], list[int]]], idf: np.ndarray) -> Index:
@@ -184,66 +204,77 @@ class Index:
         frequent = frequent[known[frequent] * DENSE_SHARE > len(ids)]
         slot = np.full(len(idf), -1, np.int32)
         slot[frequent] = np.arange(len(frequent))
-        dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
         here = slot[term] >= 0
-        dense[example[here], slot[term[here]]] = weight[here]
+        columns = example[here], slot[term[here]], weight[here]
         term, example, weight = term[~here], example[~here], weight[~here]
         order = np.argsort(term, kind="stable")
         offsets = np.concatenate(([0], np.bincount(term, minlength=len(idf)).cumsum()))
-        dense = dense.reshape(blocks, BLOCK, len(frequent))
-        return Index(idf, ids, toxic, example[order], weight[order], offsets, slot, dense, dense.max(axis=1).T.copy())
+        del term, here
+        # A worker holds little else at a time: several share the memory of an executor.
+        postings = np.empty((len(order), 2), np.int32)
+        postings[:, 0] = example[order]
+        del example
+        postings[:, 1] = weight[order].view(np.int32)
+        del weight, order
+        scaled = postings[:, 1].view(np.float32)
+        scaled *= np.repeat(idf.astype(np.float32), np.diff(offsets))
+        dense = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+        dense[columns[0], columns[1]] = columns[2]
+        return Index(idf, ids, toxic, postings, offsets, slot, dense)
+
+    @cached_property
+    def place(self) -> dict:
+        return {doc_id: at for at, doc_id in enumerate(self.ids)}
 
     def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the postings of ``terms`` add to the cosine of each example."""
+        """What the postings of ``terms`` add to the cosine of each example.
+
+        Terms that a text holds equally often differ in their inverse frequency alone, which the postings have already: so there
+        is one product for all of them.
+        """
+        factor = np.round(weights / self.idf[terms], 12)
+        order = np.argsort(factor, kind="stable")
+        terms, factor = terms[order], factor[order]
         start, stop = self.offsets[terms], self.offsets[terms + 1]
-        sizes = stop - start
-        at = np.repeat(start - np.concatenate(([0], sizes.cumsum()[:-1])), sizes) + np.arange(sizes.sum())
-        by = np.repeat(weights.astype(np.float32), sizes)
-        return np.bincount(self.example[at], weights=by * self.weight[at], minlength=len(self.dense) * BLOCK)
+        if not (stop - start).any():
+            return np.zeros(len(self.dense))
+        both = np.concatenate([self.postings[a:b] for a, b in zip(start.tolist(), stop.tolist())])
+        by = both[:, 1].view(np.float32).astype(np.float64)
+        ends = (stop - start).cumsum()
+        done = 0
+        for last in (*np.flatnonzero(np.diff(factor)), len(factor) - 1):
+            by[done : ends[last]] *= factor[last]
+            done = ends[last]
+        return np.bincount(both[:, 0], by, len(self.dense))
 
     def nearest_of(
         self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: list | None = None
     ) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of ``texts`` (terms, weights) the ``k`` examples of highest cosine; ties go to the one that stands first.
 
-        No example is passed over: a block's bound is what rare terms give it exactly plus the sum of the largest
-        weights of the frequent ones. The most promising blocks are scored first; a block whose bound stays below the
-        k-th cosine found there cannot matter. Weights have single precision.
+        No example is passed over: the frequent terms of all texts and examples are one product of matrices, to which the rare
+        terms of each text are added. Weights have single precision.
         """
-        blocks = len(self.dense)
-        score = np.zeros((len(texts), blocks * BLOCK), np.float32)
-        query = np.zeros((len(texts), len(self.highest)), np.float32)
+        query = np.zeros((len(texts), self.dense.shape[1]), np.float32)
         for i, (terms, weights) in enumerate(texts):
             slot = self.slot[terms]
             query[i, slot[slot >= 0]] = weights[slot >= 0]
-            score[i] = self._rare(terms[slot < 0], weights[slot < 0])
-        out = np.zeros(score.shape, bool)
-        if but is not None:
-            place = {doc_id: at for at, doc_id in enumerate(self.ids)}
-            for i, doc_id in enumerate(but):
-                if doc_id in place:
-                    out[i, place[doc_id]] = True
-        bound = score.reshape(len(texts), blocks, BLOCK).max(axis=2) + query @ self.highest
-        done = np.zeros(bound.shape, bool)
-        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, :4], True, axis=1)
-        self._add(score, query, done)
-        first = np.where(np.repeat(done, BLOCK, axis=1) & ~out, score, 0)
-        limit = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.zeros(len(texts))
-        more = (bound >= limit[:, None] - 1e-5) & ~done
-        self._add(score, query, more)
-        score[np.repeat(~(done | more), BLOCK, axis=1) | out] = 0
+        score = query @ self.dense.T
+        for i, (terms, weights) in enumerate(texts):
+            rare = self.slot[terms] < 0
+            score[i] += self._rare(terms[rare], weights[rare])
+            if but is not None and but[i] in self.place:
+                score[i, self.place[but[i]]] = 0
         return [self._best(row, k) for row in score]
 
-    def _add(self, score: np.ndarray, query: np.ndarray, wanted: np.ndarray) -> None:
-        """Adds what the frequent terms give to the wanted blocks of each text."""
-        for b in np.flatnonzero(wanted.any(axis=0)):
-            at = np.flatnonzero(wanted[:, b])
-            score[at, b * BLOCK : (b + 1) * BLOCK] += query[at] @ self.dense[b].T
-
     @staticmethod
     def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        least = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        # As many blocks as examples are wanted reach the lower of these bounds, so as many examples do.
+        best = score.reshape(-1, BLOCK).max(axis=1)
+        least = np.partition(best, -k)[-k] if len(best) >= k else 0.0
         found = np.flatnonzero((score > 0) & (score >= least - 1e-6))
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], -k)[-k] - 1e-6]
         found = found[np.lexsort((found, -np.round(score[found], 6)))[:k]]
         return found, score[found].astype(np.float64)
 

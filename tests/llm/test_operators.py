@@ -516,3 +516,39 @@ def test_odd_edits_and_leaves_have_defined_results(spark):
     fresh = spark.createDataFrame([(r.doc_id, r.text) for r in got], "doc_id long, text string")
     want = {r.doc_id: r.n_tokens for r in tokens.count_edits(fresh, path).collect()}
     assert {r.doc_id: r.n_tokens_edited for r in got} == want
+
+
+def test_known_words_count_like_plain_python(monkeypatch):
+    """Also after words were forgotten, and with words that have fewer terms than those before in their place."""
+    monkeypatch.setattr(toxicity, "WORDS", 40)
+    draw = np.random.default_rng(3)
+    letters = [chr(c) for c in (*range(97, 105), 0xE9)]
+    texts = ["".join(draw.choice([*letters, " ", " "], draw.integers(0, 400))) for _ in range(60)] + [None, "", "?"]
+    words = [(t or "").replace("?", " ").split() for t in texts]
+    every = sorted({f for ws in words for w in ws for f in toxicity._features(w)})
+    number = {f: i for i, f in enumerate(every[::2])}
+    known = toxicity.Known(number)
+    for text, ws in zip(texts, words):
+        want = Counter(number[f] for w in ws for f in toxicity._features(w) if f in number)
+        found, counts = known.counted(text)
+        assert found.tolist() == sorted(want) and counts.tolist() == [want[t] for t in sorted(want)]
+
+
+def test_search_with_frequent_and_rare_terms_is_exact():
+    draw = np.random.default_rng(2)
+    idf = draw.random(3000) + 0.5
+    rows = []
+    for i in range(700):
+        terms = np.union1d(draw.choice(12, 5, False), 12 + draw.choice(2988, draw.integers(0, 60), False))
+        rows.append((i, i % 2, terms.tolist(), draw.integers(1, 5, len(terms)).tolist()))
+    index = toxicity.Index.of(rows, idf)
+    assert 0 < index.dense.shape[1] < 20 and len(index.postings) > 10_000
+    full = np.zeros((700, 3000))
+    for i, _, t, c in rows:
+        full[i, t] = toxicity.weigh(np.array(t), np.array(c), idf)
+    near = index.nearest_of([(np.array(r[2]), full[r[0], r[2]]) for r in rows], 15, [r[0] for r in rows])
+    for i, (found, score) in enumerate(near):
+        cosine = full @ full[i]
+        cosine[i] = 0
+        assert i not in index.ids[found] and np.allclose(score, np.sort(cosine)[::-1][:15], atol=1e-6)
+        assert np.allclose(cosine[index.ids[found].astype(int)], score, atol=1e-6)
