@@ -552,3 +552,39 @@ def test_search_with_frequent_and_rare_terms_is_exact():
         cosine[i] = 0
         assert i not in index.ids[found] and np.allclose(score, np.sort(cosine)[::-1][:15], atol=1e-6)
         assert np.allclose(cosine[index.ids[found].astype(int)], score, atol=1e-6)
+
+
+def test_words_are_those_of_the_pattern():
+    texts = [None, "", "A_b-c9 d", "".join(map(chr, range(256))), "Größe, ÉTÉ\xa0x\x85y ½µª", "Kelvin \u212a İx", "日本 a—b “c”", "a\x1cb\ud800c"]
+    for text in texts:
+        assert toxicity._words(text) == toxicity._WORD((text or "").lower())
+
+
+def test_search_by_kinds_skips_what_no_text_holds(monkeypatch):
+    """Examples of two languages share no matrix, texts meet the terms of their own, and no example is lost by that."""
+    monkeypatch.setattr(toxicity, "KIND_ROWS", 50)
+    monkeypatch.setattr(toxicity, "ROWS", 100)
+    monkeypatch.setattr(toxicity, "FEW", 3)
+    draw = np.random.default_rng(4)
+    idf = draw.random(4000) + 0.5
+    rows = []
+    for i in range(600):
+        low = 2000 * (i % 2)
+        terms = np.union1d(low + draw.choice(30, draw.integers(3, 20), False), low + 30 + draw.choice(1970, draw.integers(0, 200), False))
+        terms = np.append(terms, draw.integers(4000)) if i % 50 == 0 else terms
+        terms = np.unique(terms)
+        rows.append((i, i % 2, terms.tolist(), draw.integers(1, 5, len(terms)).tolist()))
+    index = toxicity.Index.of(rows, idf)
+    assert len(index.centres) == 2 and len(index.blocks) == 6
+    assert sum(b.weights.size for b in index.blocks) < 0.6 * len(rows) * index.slots
+    for block in index.blocks:
+        assert len(set(index.toxic[block.start : block.stop])) == 1
+    full = np.zeros((600, 4000))
+    for i, _, t, c in rows:
+        full[i, t] = toxicity.weigh(np.array(t), np.array(c), idf)
+    near = index.nearest_of([(np.array(r[2]), full[r[0], r[2]]) for r in rows], 15, [r[0] for r in rows])
+    for i, (found, score) in enumerate(near):
+        cosine = full @ full[i]
+        cosine[i] = 0
+        assert np.allclose(score, np.sort(cosine)[::-1][:15], atol=1e-6)
+        assert np.allclose(cosine[index.ids[found].astype(int)], score, atol=1e-6)
